@@ -83,3 +83,15 @@ def put_bytes(uri: str, payload: bytes) -> None:
 def utf8(text: str) -> bytes:
     """UTF-8 of any str that Arrow hands over."""
     return text.encode("utf-8", "surrogatepass")
+
+
+def get_bytes(uri: str) -> bytes:
+    path = local_path(uri)
+    if path is None:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(inner) as data:
+            return data.read()
+    with open(path, "rb") as data:
+        return data.read()
