@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, fm_index, simhash
+from quillon.llm import exact_dedup, fm_index, piece_codec, simhash
 
-_MODULES = (exact_dedup, fm_index, simhash)
+_MODULES = (exact_dedup, fm_index, piece_codec, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
