@@ -105,10 +105,8 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     hits = normal.join(groups, F.col("digest") == F.col("group_digest"))
     stays = hits.where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     stays = stays.groupBy("digest").agg(F.min("body").alias("stay_body"))
-    wrong = written(
-        hits.select("digest", "body").join(stays, "digest").where(F.col("body") != F.col("stay_body")).select("digest").distinct(),
-        "collisions",
-    )
+    differ = hits.select("digest", "body").join(stays, "digest").where(F.col("body") != F.col("stay_body"))
+    wrong = written(differ.select("digest"), "collisions").distinct()
     rows = entries.join(groups, F.col("digest") == F.col("group_digest"), "left").select(
         "digest",
         "doc_id",
