@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,24 @@ def get_bytes(uri: str) -> bytes:
             return data.read()
     with open(path, "rb") as data:
         return data.read()
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}.get(kind)
+
+
+def per_text(docs: DataFrame, schema: str, make: Callable[[list], tuple], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, *schema) of every document; ``make`` maps a list of texts to columns of ``schema``.
+
+    doc_id passes through Arrow untouched, null or not.
+    """
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(batch.column(1).to_pylist())
+            columns = [pa.array(c, type=arrow_type(k)) for c, (_, k) in zip(made, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[n for n, _ in fields]])
+
+    kind = dict(docs.dtypes)[doc_id]
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {schema}")

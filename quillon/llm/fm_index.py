@@ -22,10 +22,10 @@ import hashlib
 import pickle
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import fresh_dir, get_bytes, put_bytes, table, utf8
@@ -218,53 +218,67 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[list[bytes]]]]:
     """Rows of a shard with their words; cuts at SHARD_WORDS."""
-    rows: list[pd.DataFrame] = []
+    rows: list[pa.RecordBatch] = []
     docs: list[list[bytes]] = []
     total = 0
     for batch in batches:
         start = 0
-        for k, text in enumerate(batch["text"]):
+        for k, text in enumerate(batch.column("text").to_pylist()):
             docs.append(words(text))
             total += len(docs[-1]) + 1
             if total >= SHARD_WORDS:
-                rows.append(batch.iloc[start : k + 1])
-                yield pd.concat(rows, ignore_index=True), docs
+                rows.append(batch.slice(start, k + 1 - start))
+                yield pa.Table.from_batches(rows), docs
                 rows, docs, total, start = [], [], 0, k + 1
-        rows.append(batch.iloc[start:])
+        if start < len(batch):
+            rows.append(batch.slice(start))
     if docs:
-        yield pd.concat(rows, ignore_index=True), docs
+        yield pa.Table.from_batches(rows), docs
 
 
-def _searched(batches: Iterator[pd.DataFrame], paths: list[str]) -> Iterator[tuple[pd.DataFrame, list]]:
+def _searched(batches: Iterator[pa.RecordBatch], paths: list[str]) -> Iterator[tuple[pa.Table, list]]:
     kept = pickle.loads(get_bytes(paths[0])) if len(paths) == 1 else None
     for rows, docs in _shards(batches):
         slices = iter([kept]) if kept is not None else (pickle.loads(get_bytes(p)) for p in paths)
         yield rows, hits(docs, slices)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) of every document."""
+def _applied(docs: DataFrame, benchmark: DataFrame, schema: str, make: Callable[[pa.Table, list], list]) -> DataFrame:
+    """doc_id and the columns that ``make`` gives for each shard."""
     paths = write_phrases(benchmark)
+    names = [f.strip().split(" ")[0] for f in re.sub(r"<.*?>", "", schema).split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in _searched(batches, paths):
-            yield pd.DataFrame(
-                {
-                    "doc_id": rows["doc_id"],
-                    "n_words": [len(h) for h, _ in found],
-                    "n_hit": [int(h.sum()) for h, _ in found],
-                    "items": [sorted(s) for _, s in found],
-                    "spans": [
-                        [{"start": a, "end": b} for a, b in spans(t, h)] if h.any() else []
-                        for t, (h, _) in zip(rows["text"], found, strict=True)
-                    ],
-                }
-            )
-
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+            columns = [rows.column("doc_id").combine_chunks(), *make(rows, found)]
+            yield from pa.table(columns, ["doc_id", *names]).to_batches()
+
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, {schema}")
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) of every document."""
+
+    def make(rows: pa.Table, found: list) -> list:
+        cut = [
+            [{"start": a, "end": b} for a, b in spans(t, h)] if h.any() else []
+            for t, (h, _) in zip(rows.column("text").to_pylist(), found, strict=True)
+        ]
+        return [
+            pa.array([len(h) for h, _ in found], pa.int64()),
+            pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+            pa.array([sorted(s) for _, s in found], pa.list_(pa.string())),
+            pa.array(cut, _SPAN),
+        ]
+
+    schema = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    return _applied(docs, benchmark, schema, make)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
@@ -282,39 +296,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
             at = end
         return "".join([*parts, text[at:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in _searched(batches, paths):
-            rows = rows.copy()
-            for k in [k for k, (h, _) in enumerate(found) if h.any()]:
-                text = cut(rows["text"].iat[k], found[k][0])
-                rows.iat[k, rows.columns.get_loc("text")] = text
-                if "n_chars" in rows:
-                    rows.iat[k, rows.columns.get_loc("n_chars")] = len(text)
-            yield rows[[len(s) < min_items for _, s in found]]
+            if any(h.any() for h, _ in found):
+                texts = rows.column("text").to_pylist()
+                new = {k: cut(texts[k], h) for k, (h, _) in enumerate(found) if h.any()}
+                change = {"text": new, "n_chars": {k: len(t) for k, t in new.items()}}
+                for name, values in change.items():
+                    at = rows.schema.get_field_index(name)
+                    if at >= 0:
+                        old = rows.column(at).to_pylist()
+                        array = pa.array([values.get(k, v) for k, v in enumerate(old)], rows.schema.field(at).type)
+                        rows = rows.set_column(at, rows.schema.field(at), array)
+            yield from rows.filter(pa.array([len(s) < min_items for _, s in found], pa.bool_())).to_batches()
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = write_phrases(table(spark, sf_dir, "benchmark"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, found in _searched(batches, paths):
-            names = [",".join(sorted(s)) for _, s in found]
-            yield pd.DataFrame(
-                {
-                    "doc_id": rows["doc_id"],
-                    "n_words": [len(h) for h, _ in found],
-                    "n_hit": [int(h.sum()) for h, _ in found],
-                    "n_items": [len(s) for _, s in found],
-                    "items_sha256": [hashlib.sha256(n.encode()).hexdigest() for n in names],
-                    "contaminated": [len(s) >= MIN_ITEMS for _, s in found],
-                }
-            )
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.mapInPandas(run, schema)
+    def make(_: pa.Table, found: list) -> list:
+        names = [",".join(sorted(s)) for _, s in found]
+        return [
+            pa.array([len(h) for h, _ in found], pa.int64()),
+            pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+            pa.array([len(s) for _, s in found], pa.int64()),
+            pa.array([hashlib.sha256(n.encode()).hexdigest() for n in names], pa.string()),
+            pa.array([len(s) >= MIN_ITEMS for _, s in found], pa.bool_()),
+        ]
+
+    schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _applied(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), schema, make)
 
 
 QUERIES = {"op4_decontaminate": query}

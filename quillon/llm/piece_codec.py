@@ -32,7 +32,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import table, utf8
+from quillon.llm.common import per_text, table, utf8
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -260,14 +260,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for batch in batches:
-            n, ids, decoded = zip(*map(own.digest, batch["text"]), strict=True) if len(batch) else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
+    def make(texts: list[str | None]) -> tuple:
+        return tuple(zip(*map(codec(path).digest, texts), strict=True)) if texts else ((), (), ())
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bitplanes import neighbours, paired, planes, unpack
-from quillon.llm.common import bounded, table, utf8, written
+from quillon.llm.common import bounded, per_text, table, utf8, written
 from quillon.llm.components import components
 
 RADIUS = 3
@@ -64,10 +64,8 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n - 2, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        made = np.fromiter(map(fingerprint, batch["text"]), dtype=np.uint64, count=len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": made.view(np.int64)})
+def _fingerprints(texts: list[str | None]) -> tuple[np.ndarray]:
+    return (np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64),)
 
 
 def _bits(offset: int, width: int) -> F.Column:
@@ -178,7 +176,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
-    made = written(docs.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    made = written(per_text(docs, "fp long", _fingerprints), "fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
     edges = links(distinct.select("fp"))
     roots = written(components(edges).withColumnRenamed("node", "fp"), "roots")

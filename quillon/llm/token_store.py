@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ CACHE_WORDS = 600_000
 #: Characters encoded at once.
 BATCH_CHARS = 8_000_000
 BLOCK_WORDS = 8
+MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64()), ("path", pa.string())])
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -196,11 +198,11 @@ def token_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *body])
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-            ids.append(None if pd.isna(i) else int(i))
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(i)
             texts.append(text)
             size += len(text or "") + 1
             if size >= BATCH_CHARS:
@@ -220,18 +222,19 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
     root = root or fresh_dir(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder(path), TaskContext.get().partitionId()
         file = start = held = 0
         kept: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal file, start, held, kept
             ids, names, lengths = (list(x) for x in zip(*kept, strict=True))
             uri = f"{root}/part-{part:06d}-{file:06d}.qwm"
             tokens = np.concatenate(ids)
             put_bytes(uri, token_file(tokens, [i for n in names for i in n], np.concatenate(lengths)))
-            row = pd.DataFrame({"part": [part], "file": [file], "start": [start], "tokens": [len(tokens)], "path": [uri]})
+            row = {"part": part, "file": file, "start": start, "tokens": len(tokens), "path": uri}
+            row = pa.RecordBatch.from_pylist([row], MANIFEST)
             file, start, held, kept = file + 1, start + len(tokens), 0, []
             return row
 
@@ -245,7 +248,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
             yield flush()
 
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInPandas(run, "part int, file int, start long, tokens long, path string"), "manifest")
+    return written(dealt.mapInArrow(run, "part int, file int, start long, tokens long, path string"), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
