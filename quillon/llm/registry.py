@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, fm_index, piece_codec, simhash, token_store
+from quillon.llm import exact_dedup, fm_index, piece_codec, simhash, token_store, toxic_crf
 
-_MODULES = (exact_dedup, fm_index, piece_codec, simhash, token_store)
+_MODULES = (exact_dedup, fm_index, piece_codec, simhash, token_store, toxic_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
