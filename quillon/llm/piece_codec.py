@@ -36,8 +36,8 @@ from quillon.llm.common import per_text, table, utf8
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks whose encodings a task keeps.
-CACHE = 300_000
+#: Chunks whose encodings a task keeps: seen again, seen once.
+CACHE, FRESH = 500_000, 300_000
 #: Longer chunks are not cached.
 CACHED_CHARS = 64
 #: Up to so many characters, merging scans all pairs instead of keeping a heap.
@@ -78,7 +78,9 @@ class PieceCodec:
         odd = "".join(sorted({c for c in "\n\t\r" if c not in self.known}))
         # A chunk: spaces with what follows, or one of the usual characters of no piece.
         self.chunks = re.compile(f"[{re.escape(odd)}]|{SPACE}*[^{SPACE}{re.escape(odd)}]+|{SPACE}+") if odd else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, tuple[list[int], bytes, bytes]] = {}
+        # Chunks seen again, and chunks seen once.
+        self.cache: dict[str, tuple[int, bytes, bytes]] = {}
+        self.fresh: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, the leftmost of equals."""
@@ -166,16 +168,22 @@ class PieceCodec:
             start = k + 1
         return ids
 
-    def chunk(self, chunk: str) -> tuple[list[int], bytes, bytes]:
-        """(ids, decimal ids joined by spaces, decoded bytes) of a chunk."""
+    def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """(number of ids, decimal ids joined by spaces, decoded bytes) of a chunk."""
         found = self.cache.get(chunk)
         if found is None:
-            ids = self._chunk_ids(chunk)
-            found = ids, " ".join(map(str, ids)).encode(), utf8(self._decoded(ids))
-            if len(chunk) <= CACHED_CHARS:
+            found = self.fresh.pop(chunk, None)
+            if found is not None:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 self.cache[chunk] = found
+                return found
+            ids = self._chunk_ids(chunk)
+            found = len(ids), " ".join(map(str, ids)).encode(), utf8(self._decoded(ids))
+            if len(chunk) <= CACHED_CHARS:
+                if len(self.fresh) >= FRESH:
+                    self.fresh.clear()
+                self.fresh[chunk] = found
         return found
 
     def split(self, text: str | None) -> list[str]:
@@ -183,7 +191,7 @@ class PieceCodec:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.split(text) for i in self.chunk(c)[0]] + [self.end]
+        return [int(i) for c in self.split(text) for i in self.chunk(c)[1].split()] + [self.end]
 
     def _decoded(self, ids: list[int]) -> str:
         """Text of ids with spaces for marks; runs of bytes are UTF-8, with replacement of what isn't."""
@@ -215,7 +223,7 @@ class PieceCodec:
         found = list(map(self.chunk, self.split(text)))
         for at in range(0, len(found), 1 << 16):
             part = found[at : at + (1 << 16)]
-            n += sum(len(f[0]) for f in part)
+            n += sum([f[0] for f in part])
             ids.update(b" ".join([f[1] for f in part]) + b" ")
             body = b"".join([f[2] for f in part])
             decoded.update(body if at else body.removeprefix(b" "))

@@ -28,6 +28,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,11 +44,13 @@ MAGIC = b"QWMX0001"
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Tokens of a file; a file ends with the document that reaches it.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 #: Words whose ids a task keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Characters encoded at once.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
+#: Words that the library encodes at once; what it returns for each takes a kilobyte.
+ENCODE_WORDS = 10_000
 BLOCK_WORDS = 8
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64()), ("path", pa.string())])
 
@@ -83,26 +86,46 @@ class WordEncoder:
         self.pending: list[str] = []
         self.numbers = Numbers()
         self.flat, self.starts = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words used again, at most half of the bound; uses age by half."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = np.sort(np.argpartition(-self.uses, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
+        words, flat, starts, uses = list(self.numbers), self.flat, self.starts, self.uses
+        self.clear()
+        self.numbers.update((words[k], n) for n, k in enumerate(kept.tolist()))
+        sizes = np.diff(starts)[kept]
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.flat = flat[np.arange(int(sizes.sum())) + np.repeat(starts[kept] - self.starts[:-1], sizes)]
+        self.uses = uses[kept] // 2
 
     def _encode_pending(self) -> None:
         if not self.pending:
             return
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(self.pending, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        flat = np.fromiter((i for ids in made for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-        self.flat = np.concatenate((self.flat, flat))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        flat, sizes = [self.flat], []
+        for at in range(0, len(self.pending), ENCODE_WORDS):
+            part = self.pending[at : at + ENCODE_WORDS]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
+            flat.append(np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(sizes[-1].sum())))
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))))
         self.pending = []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with end ids, ids of each text)."""
         if len(self.numbers) > CACHE_WORDS:
-            self.clear()
+            self._forget()
         words = [utf8(t).split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         number = self.numbers.__getitem__
-        at = np.fromiter((number(w) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
+        at = np.fromiter(map(number, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
         self._encode_pending()
+        uses = np.bincount(at, minlength=len(self.numbers))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         # One more entry, of the end id alone, follows each text's words.
         ends = np.cumsum(sizes)
         at = np.insert(at, ends, len(self.starts) - 1)
