@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, fm_index, piece_codec, simhash, token_store, toxic_crf
+from quillon.llm import exact_dedup, fm_index, pii, piece_codec, resample, simhash, token_store, toxic_crf, url_lists, warc
 
-_MODULES = (exact_dedup, fm_index, piece_codec, simhash, token_store, toxic_crf)
+_MODULES = (warc, resample, exact_dedup, fm_index, piece_codec, url_lists, simhash, pii, token_store, toxic_crf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
