@@ -1,3 +1,57 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): ...
+"""Cleaning a corpus for training: five stages over ``documents``, each on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to
+the shared folder and hands what it reads again to the next one.  All stages but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import exact_dedup, fm_index, piece_codec, simhash, toxic_crf
+from quillon.llm.common import table, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the random field scores as toxic go."""
+    return toxic_crf.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal normalised texts the smallest doc_id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of several benchmark items go; from the others hit spans are cut."""
+    return fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that are left."""
+    return piece_codec.digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_duplicates),
+    ("simhash", near_duplicates),
+    ("decontaminate", decontamination),
+    ("sentencepiece", tokens),
+]
+
+#: Random field and fingerprints are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
