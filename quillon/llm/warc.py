@@ -45,8 +45,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY_BYTES = 256
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_LINE = re.compile(rb"(?<=\n)WARC/1\.[01]\r\n")
 _PIECE = 1 << 16
+#: Longest header block of a record.
+HEADER_BYTES = 1 << 20
 
 
 # Records
@@ -136,7 +137,7 @@ def parse(data: bytes | mmap.mmap, at: int) -> tuple[Record, int]:
     start = _VERSION.match(data, at)
     if not start:
         raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", at)
+    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if stop < 0:
         raise Damage("unfinished header")
     headers: dict[str, str] = {}
@@ -201,7 +202,7 @@ def salvage(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, Record] | Gap]:
                     break
                 start += 1
             else:
-                found = _LINE.search(data, start)
+                found = _VERSION.search(data, start)
                 start = found.start() if found else -1
                 break
         return size if start < 0 else min(start, size)
