@@ -74,7 +74,8 @@ def suffix_array(symbols: np.ndarray, separators: np.ndarray, sigma: int) -> np.
     key = np.zeros(n, dtype=np.int64)
     for k in range(depth):
         key <<= width
-        key[: n - k] |= rank[k:]
+        if k < n:
+            key[: n - k] |= rank[k:]
     order = np.argsort(key)
     tied_order, tied_key = order, key[order]
     rank = np.empty(n, dtype=np.int64)

@@ -52,6 +52,12 @@ CHUNK_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _lowered(text: str) -> str:
+    """Lower case with one code point for each, so that offsets hold for the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def word_features(word: str) -> list[str]:
     """The word, its prefixes of 3 to 6 characters and its last 4."""
     found = [f"={word}"]
@@ -102,7 +108,7 @@ class Words:
         self.table = np.empty((3, 0), dtype=np.float32)
 
     def of(self, text: str | None) -> np.ndarray:
-        found = _WORD.findall(text.lower()) if text else []
+        found = _WORD.findall(_lowered(text)) if text else []
         return np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found))
 
     def sums(self) -> np.ndarray:
@@ -329,7 +335,7 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     toxic = toxic.astype(int)
     if len(set(toxic.tolist())) < 2:
         return None
-    docs = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    docs = [_WORD.findall(_lowered(t)) if t else [] for t in texts]
 
     def chain_of(part: np.ndarray) -> Chain:
         own = [docs[i] for i in part]
@@ -390,11 +396,6 @@ class Scorer:
         return out
 
 
-def _lowered(text: str) -> str:
-    """Lower case with one code point for each, so that offsets hold for the text itself."""
-    return "".join(c if len(c) == 1 else c[0] for c in map(str.lower, text)) if len(text.lower()) != len(text) else text.lower()
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the identifier's text modulo FOLDS; a null identifier counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))
