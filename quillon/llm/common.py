@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes as Catalyst will hold it, that a join may broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch that are turned into Python objects at once.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +105,13 @@ def arrow_type(kind: str) -> pa.DataType:
     return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}.get(kind)
 
 
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size`` bytes, so that only a part at a time becomes Python objects."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def per_text(docs: DataFrame, schema: str, make: Callable[[list], tuple], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, *schema) of every document; ``make`` maps a list of texts to columns of ``schema``.
 
@@ -112,9 +121,10 @@ def per_text(docs: DataFrame, schema: str, make: Callable[[list], tuple], *, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = make(batch.column(1).to_pylist())
-            columns = [pa.array(c, type=arrow_type(k)) for c, (_, k) in zip(made, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[n for n, _ in fields]])
+            for part in slices(batch):
+                made = make(part.column(1).to_pylist())
+                columns = [pa.array(c, type=arrow_type(k)) for c, (_, k) in zip(made, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *[n for n, _ in fields]])
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {schema}")

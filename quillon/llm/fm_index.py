@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import fresh_dir, get_bytes, put_bytes, table, utf8
+from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, utf8
 from quillon.llm.wavelet import BitVector, WaveletMatrix
 
 WINDOW = 8
@@ -224,7 +224,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[
     rows: list[pa.RecordBatch] = []
     docs: list[list[bytes]] = []
     total = 0
-    for batch in batches:
+    for batch in (p for b in batches for p in slices(b)):
         start = 0
         for k, text in enumerate(batch.column("text").to_pylist()):
             docs.append(words(text))

@@ -37,7 +37,7 @@ from quillon.llm.common import per_text, table, utf8
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks whose encodings a task keeps: seen again, seen once.
-CACHE, FRESH = 500_000, 300_000
+CACHE, FRESH = 250_000, 150_000
 #: Longer chunks are not cached.
 CACHED_CHARS = 64
 #: Up to so many characters, merging scans all pairs instead of keeping a heap.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, fresh_dir, get_bytes, per_text, put_bytes, table, utf8, written
+from quillon.llm.common import bounded, fresh_dir, get_bytes, per_text, put_bytes, slices, table, utf8, written
 
 BUCKETS = 10_000
 #: N-grams that a long text counts for.
@@ -40,7 +40,7 @@ CHUNK = 100
 SMOOTHING = 0.5
 SEED = 20240101
 #: Words whose hashes a task keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Sums are told apart to this many decimal digits.
 DECIMALS = 9
 DIGIT_BITS = 16
@@ -101,9 +101,9 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, raw, target, seen = NGrams(buckets), np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64), False
-        for batch in batches:
-            found, sizes = grams.of(batch.column(0).to_pylist())
-            good = np.repeat(np.array(batch.column(1).to_pylist(), dtype=bool), sizes)
+        for part in (p for batch in batches for p in slices(batch)):
+            found, sizes = grams.of(part.column(0).to_pylist())
+            good = np.repeat(np.array(part.column(1).to_pylist(), dtype=bool), sizes)
             raw += np.bincount(found, minlength=buckets)
             target += np.bincount(found[good], minlength=buckets)
             seen = True

@@ -8,7 +8,7 @@ as plain sequential decoding.
 
 Layout: magic, length of the header, JSON header, sections.  The header names
 each section with its length, its stored length and CRC-32; sections are
-deflated where that makes them smaller.  Sections: ``alphabet`` (uint32),
+zstd-compressed where that makes them smaller.  Sections: ``alphabet`` (uint32),
 ``plane0``... (packed bits, highest first), ``ranks0``... (ones before each
 block of 512 bits, uint32), ``doc_ids`` (int64), ``missing`` (null doc_ids) and
 ``lengths`` (uint32).
@@ -25,6 +25,8 @@ length stays in one file.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,24 +35,29 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh_dir, get_bytes, put_bytes, table, utf8, written
+from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, utf8, written
 from quillon.llm.wavelet import BitVector, WaveletMatrix
 
 MAGIC = b"QWMX0001"
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Tokens of a file; a file ends with the document that reaches it.
-FILE_TOKENS = 2_000_000
+FILE_TOKENS = 1_000_000
 #: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
-#: Characters encoded at once.
-BATCH_CHARS = 3_000_000
-#: Words that the library encodes at once; what it returns for each takes a kilobyte.
-ENCODE_WORDS = 10_000
+CACHE_WORDS = 500_000
+#: Bytes of texts encoded at once.
+ENCODE_BYTES = 12 << 20
+#: Words that the library encodes at once, and words of a line of them.
+ENCODE_WORDS, LINE_WORDS = 10_000, 100
+#: Letters that normalisation turns into as many letters: one match of the splitting pattern.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = frozenset(c for c in map(chr, range(0x61, 0x100)) if _PLAIN.fullmatch(c))
+_TAIL = frozenset(".,;:!?")
 BLOCK_WORDS = 8
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64()), ("path", pa.string())])
 
@@ -66,78 +73,127 @@ class WordEncoder:
 
     ASCII white space always ends a match of this vocabulary's splitting pattern
     and takes part in no token, so ids of a text are those of its words in turn.
+    So it is between a letter and punctuation that follows.
     """
 
     def __init__(self, path: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         encoder = self
 
         class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
+            def __missing__(self, word: str) -> int:
+                if word[-1:] in _TAIL and (stem := word.rstrip("".join(_TAIL)))[-1:] in _LETTERS:
+                    # Letters and what follows them are encoded apart, and the letters are often known already.
+                    encoder.joined.append((self[stem], self[word[len(stem) :]], len(self)))
+                    self[word] = number = len(self)
+                    return number
                 self[word] = number = len(self)
-                encoder.pending.append(word.decode("utf-8", "surrogatepass"))
+                encoder.pending.append(word)
+                encoder.pending_numbers.append(number)
                 return number
 
         self.pending: list[str] = []
+        self.pending_numbers: list[int] = []
+        self.joined: list[tuple[int, int, int]] = []
         self.numbers = Numbers()
-        self.flat, self.starts = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-        self.uses = np.zeros(0, dtype=np.int64)
+        self.flat = np.empty(0, dtype=np.uint32)
+        self.at, self.size, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
     def _forget(self) -> None:
         """Keep the words used again, at most half of the bound; uses age by half."""
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > CACHE_WORDS // 2:
             kept = np.sort(np.argpartition(-self.uses, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
-        words, flat, starts, uses = list(self.numbers), self.flat, self.starts, self.uses
+        words, flat, at, size, uses = list(self.numbers), self.flat, self.at[kept], self.size[kept], self.uses[kept]
         self.clear()
         self.numbers.update((words[k], n) for n, k in enumerate(kept.tolist()))
-        sizes = np.diff(starts)[kept]
-        self.starts = np.concatenate(([0], np.cumsum(sizes)))
-        self.flat = flat[np.arange(int(sizes.sum())) + np.repeat(starts[kept] - self.starts[:-1], sizes)]
-        self.uses = uses[kept] // 2
+        self.flat, self.at, self.size, self.uses = _gather(flat, at, size), np.cumsum(size) - size, size, uses // 2
 
     def _encode_pending(self) -> None:
-        if not self.pending:
+        """Encode new words: plain ones in lines, in which pieces that end a word tell them apart, others one by one."""
+        count = len(self.numbers)
+        if count == len(self.at):
             return
-        flat, sizes = [self.flat], []
-        for at in range(0, len(self.pending), ENCODE_WORDS):
-            part = self.pending[at : at + ENCODE_WORDS]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
-            flat.append(np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(sizes[-1].sum())))
+        grown = np.zeros(count - len(self.at), dtype=np.int64)
+        self.at, self.size = np.concatenate((self.at, grown)), np.concatenate((self.size, grown))
+        flat, end = [self.flat], len(self.flat)
+        for start in range(0, len(self.pending), ENCODE_WORDS):
+            part = self.pending[start : start + ENCODE_WORDS]
+            numbers = np.array(self.pending_numbers[start : start + ENCODE_WORDS], dtype=np.int64)
+            plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in part), dtype=bool, count=len(part))
+            words = [part[k] for k in np.flatnonzero(plain).tolist()]
+            lines = [" ".join(words[k : k + LINE_WORDS]) for k in range(0, len(words), LINE_WORDS)]
+            ids = self._ids(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            odd = self.tokenizer.encode_batch_fast([part[k] for k in np.flatnonzero(~plain).tolist()], add_special_tokens=False)
+            sizes = np.concatenate((np.diff(stops, prepend=0), np.fromiter(map(len, odd), dtype=np.int64, count=len(odd))))
+            numbers = np.concatenate((numbers[plain], numbers[~plain]))
+            self.size[numbers], self.at[numbers] = sizes, end + np.cumsum(sizes) - sizes
+            flat += [ids, self._ids(odd)]
+            end += int(sizes.sum())
         self.flat = np.concatenate(flat)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))))
-        self.pending = []
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self.joined:
+            stem, tail, number = np.array(self.joined, dtype=np.int64).T
+            both = np.column_stack((stem, tail)).reshape(-1)
+            sizes = self.size[stem] + self.size[tail]
+            self.size[number], self.at[number] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate((self.flat, _gather(self.flat, self.at[both], self.size[both])))
+        self.pending, self.pending_numbers, self.joined = [], [], []
+
+    @staticmethod
+    def _ids(made: list) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(e.ids for e in made), dtype=np.uint32)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with end ids, ids of each text)."""
         if len(self.numbers) > CACHE_WORDS:
             self._forget()
-        words = [utf8(t).split() if t else [] for t in texts]
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        number = self.numbers.__getitem__
-        at = np.fromiter(map(number, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # ASCII is lower-cased as the library would do, unless a special piece's name may be meant.
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        own = np.fromiter(map(self.numbers.__getitem__, names), dtype=np.int64, count=len(names))
+        at = own[words.indices.to_numpy()]
         self._encode_pending()
         uses = np.bincount(at, minlength=len(self.numbers))
         uses[: len(self.uses)] += self.uses
         self.uses = uses
         # One more entry, of the end id alone, follows each text's words.
         ends = np.cumsum(sizes)
-        at = np.insert(at, ends, len(self.starts) - 1)
-        starts = np.append(self.starts[:-1], len(self.flat))[at]
-        lengths = np.append(np.diff(self.starts), 1)[at]
-        flat = np.append(self.flat, np.uint32(END_ID))
-        before = np.cumsum(lengths) - lengths
-        ids = flat[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
-        stops = (before + lengths)[ends + np.arange(len(ends))]
+        at = np.insert(at, ends, len(self.at))
+        lengths = np.append(self.size, 1)[at]
+        ids = _gather(np.append(self.flat, np.uint32(END_ID)), np.append(self.at, len(self.flat))[at], lengths)
+        stops = np.cumsum(lengths)[ends + np.arange(len(ends))]
         return ids, np.diff(stops, prepend=0)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """One encoder, with its cache, for each worker process."""
+    path = path or vocabulary_path()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``sizes`` values that begin at ``at``, one behind the other."""
+    return flat[np.arange(int(sizes.sum())) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)]
+
+
 class TokenFile:
     """One shard, read from its bytes."""
 
@@ -158,7 +214,7 @@ class TokenFile:
         data = self._payload[at : at + stored]
         if zlib.crc32(data) != crc:
             raise ValueError(f"section {name} is damaged")
-        return np.frombuffer(zlib.decompress(data) if stored < length else data, dtype=dtype)
+        return np.frombuffer(pa.decompress(data, decompressed_size=length, codec="zstd", asbytes=True) if stored < length else data, dtype=dtype)
 
     @property
     def matrix(self) -> WaveletMatrix:
@@ -171,7 +227,7 @@ class TokenFile:
         return self._matrix
 
     def tokens(self) -> np.ndarray:
-        return self.section("alphabet", "<u4")[self.matrix.decode(np.uint32)]
+        return self.section("alphabet", "<u4")[self.matrix.decode(np.uint16 if self.header["levels"] <= 16 else np.uint32)]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         return self.section("alphabet", "<u4")[self.matrix.access(np.asarray(at))[0]]
@@ -213,7 +269,7 @@ def token_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     sections, body = [], []
     for name, values in parts.items():
         data = values.tobytes()
-        packed = zlib.compress(data, 1)
+        packed = pa.compress(data, codec="zstd", asbytes=True) if data else data
         stored = packed if len(packed) < len(data) else data
         sections.append((name, len(data), len(stored), zlib.crc32(stored)))
         body.append(stored)
@@ -221,20 +277,6 @@ def token_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *body])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(text)
-            size += len(text or "") + 1
-            if size >= BATCH_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if texts:
-        yield ids, texts
-
-
 def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``docs`` as token files under ``root``; returns the manifest.
 
@@ -246,7 +288,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, part = word_encoder(path), TaskContext.get().partitionId()
         file = start = held = 0
         kept: list[tuple] = []
 
@@ -261,9 +303,9 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
             file, start, held, kept = file + 1, start + len(tokens), 0, []
             return row
 
-        for names, texts in _chunks(batches):
-            ids, lengths = encoder.encode(texts)
-            kept.append((ids, names, lengths))
+        for batch in (p for b in batches for p in slices(b, ENCODE_BYTES)):
+            ids, lengths = encoder.encode(batch.column(1))
+            kept.append((ids, batch.column(0).to_pylist(), lengths))
             held += len(ids)
             if held >= FILE_TOKENS:
                 yield flush()

@@ -23,6 +23,7 @@ null label don't train; repeated rows are scored each by itself.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import per_text, table
+from quillon.llm.common import fresh_dir, get_bytes, per_text, put_bytes, slices, table, written
 
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -47,8 +48,8 @@ HASH = 1 << 17
 BOUND, CLEAR, SUPPORT = 2.5, 0.7, 4
 ROUNDS, RATE, DECAY = 12, 0.3, 1e-6
 #: Words whose weights a task keeps; words scored together.
-CACHE_WORDS = 300_000
-CHUNK_WORDS = 2_000_000
+CACHE_WORDS = 200_000
+CHUNK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -404,21 +405,18 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on the documented bounded sample of labelled rows outside the held-out fold."""
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT).join(known, "doc_id")
-    texts, marks = [], []
-    for mark in (0, 1):
-        part = rows.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-        for row in part.select("text").toLocalIterator():
-            texts.append(row["text"])
-            marks.append(mark)
+    ids = docs.select("doc_id").distinct().where(fold(F.col("doc_id")) != HELD_OUT)  # texts stay where they are
+    known = written(ids.join(known, "doc_id"), "labelled")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    parts = [known.where(F.col("toxic") == mark).orderBy(*order).limit(TRAIN_DOCS) for mark in (0, 1)]
+    sample = written(parts[0].unionByName(parts[1]), "sample")  # 2 * TRAIN_DOCS rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
+    rows.sort(key=lambda r: (r["toxic"], str(r["doc_id"]), r["text"] or ""))
+    texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
     return train(texts, np.array(marks, dtype=int))
 
 
 def _model_uri(spark: SparkSession, model: Model | None) -> str:
-    import pickle
-
-    from quillon.llm.common import fresh_dir, put_bytes
-
     uri = f"{fresh_dir(spark, 'crf')}/model.pickle"
     put_bytes(uri, pickle.dumps(model))
     return uri
@@ -429,10 +427,6 @@ _SCORERS: dict[str, Scorer | None] = {}
 
 def _scorer(uri: str) -> Scorer | None:
     """One scorer for each worker process and model."""
-    import pickle
-
-    from quillon.llm.common import get_bytes
-
     if uri not in _SCORERS:
         _SCORERS.clear()
         model = pickle.loads(get_bytes(uri))
@@ -457,7 +451,7 @@ def toxic_spans(docs: DataFrame, model: Model | None, least: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(uri)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b)):
             found = scorer.spans(batch.column(1).to_pylist(), least) if scorer else []
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             flat = [s for f in found for s in f]
@@ -478,8 +472,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             if scorer is None:
                 yield batch
-            else:
-                yield batch.filter(pa.array(scorer.scores(batch.column("text").to_pylist()) < threshold))
+                continue
+            for part in slices(batch):
+                yield part.filter(pa.array(scorer.scores(part.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

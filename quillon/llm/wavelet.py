@@ -65,7 +65,7 @@ class WaveletMatrix:
             ones = bits.astype(bool)
             planes.append(BitVector.of(ones))
             if shift:
-                now = np.concatenate((now[~ones], now[ones]))
+                now = np.concatenate((now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))))
         return cls(planes, len(symbols))
 
     def follow(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,10 +110,9 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             plane = self.planes[level]
             ones = np.unpackbits(plane.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
-            out = np.empty_like(now)
             if level < self.levels - 1:
-                out[~ones], out[ones] = now[: self.zeros[level]], now[self.zeros[level] :]
-            else:
-                out = now
-            now = out + (ones.astype(dtype) << dtype(self.levels - 1 - level))
+                out = np.empty_like(now)
+                out[np.flatnonzero(~ones)], out[np.flatnonzero(ones)] = now[: self.zeros[level]], now[self.zeros[level] :]
+                now = out
+            now |= ones.astype(dtype) << dtype(self.levels - 1 - level)
         return now

@@ -92,7 +92,7 @@ def test_store_on_odd_texts_and_small_files(spark, monkeypatch):
     rows = [(10 * k % 7, t) for k, t in enumerate(ODD)] + [(None, "a"), (None, None), (-5, "it's THE end's"), (99, "a b c")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string")
     monkeypatch.setattr(token_store, "FILE_TOKENS", 50)
-    monkeypatch.setattr(token_store, "BATCH_CHARS", 40)
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 3)
     manifest = token_store.write_tokens(docs)
     got = token_store.read_tokens(manifest).collect()
     assert sorted(map(tuple, got), key=repr) == brute_store(rows)
