@@ -34,13 +34,13 @@ from quillon.llm.wavelet import BitVector, WaveletMatrix
 WINDOW = 8
 MIN_ITEMS = 2
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 600_000
 #: Phrases of a slice.
 SLICE_PHRASES = 200_000
 #: Distance of sampled text positions within a document.
 SAMPLE = 8
 #: Occurrences located at once.
-LOCATE_ROWS = 500_000
+LOCATE_ROWS = 200_000
 
 _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -336,7 +336,8 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     toxic = toxic.astype(int)
     if len(set(toxic.tolist())) < 2:
         return None
-    docs = [_WORD.findall(_lowered(t)) if t else [] for t in texts]
+    known: dict[str, str] = {}  # one object for each distinct word
+    docs = [[known.setdefault(w, w) for w in _WORD.findall(_lowered(t))] if t else [] for t in texts]
 
     def chain_of(part: np.ndarray) -> Chain:
         own = [docs[i] for i in part]
@@ -413,6 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
     rows.sort(key=lambda r: (r["toxic"], str(r["doc_id"]), r["text"] or ""))
     texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    del rows
     return train(texts, np.array(marks, dtype=int))
 
 
