@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillon.plans import evaluation, modelling, preprocessing
+from quillon.plans.tables import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (preprocessing, evaluation, modelling)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
