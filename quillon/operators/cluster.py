@@ -16,6 +16,10 @@ from quillon.functions import pairwise
 from quillon.operators.base import Estimator, Features, matrix, partial_sums, vector, width
 
 
+#: Share of the largest eigenvalue below which a kernel's eigenvalues count as zero.
+CUT = 1e-10
+
+
 def _near(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1), 0)
     label = d.argmin(1)
@@ -188,29 +192,37 @@ class SpectralClustering(Estimator):
             raise ValueError(f"'n_components' must be smaller than the number of samples. Got {self.n_components} components and {n} samples")
         order = F.xxhash64(F.col(f"`{self.key}`"), F.lit(self.random_state)) if self.key else F.xxhash64(vector(features), F.lit(self.random_state))
         keep = np.array([r["x"] for r in df.select(vector(features).alias("x"), order.alias("o")).orderBy("o").limit(self.n_components).collect()])
-        m, k = len(keep), self.n_clusters
-        a = self._kernel(keep, keep)
-        total = partial_sums(df, [vector(features)], lambda x: self._kernel(keep, x).sum(1), m)
-        rest = total - a.sum(1)  # sums over the rows that weren't sampled
-        pull = np.linalg.pinv(a) @ rest
-        d1 = 1 / np.sqrt(np.maximum(a.sum(1) + rest, 1e-12))
-        u, s, _ = np.linalg.svd(d1[:, None] * a * d1)
-        basis = u[:, :k] / np.sqrt(np.maximum(s[:k], 1e-12))
+        m, k, kernel = len(keep), self.n_clusters, self._kernel
+        a = kernel(keep, keep)
+        total = partial_sums(df, [vector(features)], lambda x: kernel(keep, x).sum(1), m)
+        pull = np.linalg.pinv(a, rcond=CUT, hermitian=True) @ (total - a.sum(1))
+        d1 = 1 / np.sqrt(np.maximum(total, 1e-12))
+
+        def scaled(x: np.ndarray) -> np.ndarray:
+            """Degree-normalised kernel with the sampled rows."""
+            b = kernel(x, keep)
+            return b * d1 / np.sqrt(np.maximum(b.sum(1) + b @ pull, 1e-12))[:, None]
+
+        # Eigenvectors of the completed kernel: those of A^-1/2 (sum of c c') A^-1/2, one more pass.
+        values, vectors = np.linalg.eigh(d1[:, None] * a * d1)
+        full = values > CUT * values.max()
+        half = (vectors[:, full] / np.sqrt(values[full])) @ vectors[:, full].T
+        outer = partial_sums(df, [vector(features)], lambda x: (scaled(x).T @ scaled(x)).ravel(), m * m).reshape(m, m)
+        s, u = np.linalg.eigh(half @ outer @ half)
+        s, u = s[::-1][:k], u[:, ::-1][:, :k]
+        basis = half @ u / np.sqrt(np.maximum(s, 1e-12))
         rows = df.withColumn("__embedding", vector(features))
-        kernel = self._kernel
 
         def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    b = kernel(matrix(batch["__embedding"]), keep)
-                    d2 = 1 / np.sqrt(np.maximum(b.sum(1) + b @ pull, 1e-12))
-                    e = (b * d1 * d2[:, None]) @ basis
+                    e = scaled(matrix(batch["__embedding"])) @ basis
                     batch["__embedding"] = list(e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12))
                 yield batch
 
         self.embedding_ = rows.mapInPandas(embed, rows.schema)
         self.assign_labels_ = KMeans(k, random_state=self.random_state, **(self.kmeans_params or {})).fit(self.embedding_, "__embedding")
-        self.eigenvalues_ = s[:k]
+        self.eigenvalues_ = s
         return self.assign_labels_.predict(self.embedding_).drop("__embedding")
 
     fit = fit_predict

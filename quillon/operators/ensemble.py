@@ -94,7 +94,7 @@ class ParallelPostFit(Estimator):
 
     def predict_log_proba(self, df: DataFrame, features: Features | None = None) -> DataFrame:
         out = self.predict_proba(df, features)
-        return out.withColumn("log_probability", F.transform("probability", F.log)).drop("probability")
+        return out.withColumn("log_probability", F.transform("probability", lambda p: F.log(p))).drop("probability")
 
     def transform(self, df: DataFrame, features: Features | None = None) -> DataFrame:
         return self._call(df, "transform", "transformed", self.transform_meta, features)

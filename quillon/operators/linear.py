@@ -303,7 +303,7 @@ class GaussianNB(Estimator):
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         rows = self.predict_log_proba(df)
-        return rows.withColumn("probability", F.transform("log_probability", F.exp)).drop("log_probability")
+        return rows.withColumn("probability", F.transform("log_probability", lambda p: F.exp(p))).drop("log_probability")
 
     def score(self, df: DataFrame, label: str) -> float:
         return metrics.accuracy_score(self.predict(df), label, "prediction")

@@ -26,11 +26,12 @@ def tokens(text: Column, pattern: str = TOKEN, lowercase: bool = True, ngram_ran
     low, high = ngram_range
     if (low, high) == (1, 1):
         return words
-    parts = []
-    for n in range(low, high + 1):
+
+    def grams(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda k, n=n: F.array_join(F.slice(words, k, n), " ")))
-    return F.concat(*parts)
+        return F.transform(at, lambda k: F.array_join(F.slice(words, k, n), " "))
+
+    return F.concat(*map(grams, range(low, high + 1)))
 
 
 class CountVectorizer(Estimator):
