@@ -104,7 +104,8 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     # Byte verification: texts of hits and of the documents that stay, nothing else.
     hits = normal.join(groups, F.col("digest") == F.col("group_digest"))
     stays = hits.where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    stays = stays.groupBy("digest").agg(F.min("body").alias("stay_body"))
+    # Written, so that the join reads plain exchanges on both sides and hot digests can be split.
+    stays = written(stays.groupBy("digest").agg(F.min("body").alias("stay_body")), "stays")
     differ = hits.select("digest", "body").join(stays, "digest").where(F.col("body") != F.col("stay_body"))
     wrong = written(differ.select("digest"), "collisions").distinct()
     rows = entries.join(groups, F.col("digest") == F.col("group_digest"), "left").select(
