@@ -6,6 +6,7 @@ Intermediate tables and files go to the folder named by ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -105,6 +106,22 @@ def arrow_type(kind: str) -> pa.DataType:
     return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}.get(kind)
 
 
+def tidy() -> None:
+    """Give free memory back: Spark reuses Python workers, and what one stage leaves in pools adds to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind each of them free memory is given back."""
+    for batch in batches:
+        yield batch
+        del batch
+        tidy()
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``size`` bytes, so that only a part at a time becomes Python objects."""
     rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
@@ -120,7 +137,7 @@ def per_text(docs: DataFrame, schema: str, make: Callable[[list], tuple], *, doc
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for part in slices(batch):
                 made = make(part.column(1).to_pylist())
                 columns = [pa.array(c, type=arrow_type(k)) for c, (_, k) in zip(made, fields, strict=True)]

@@ -28,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, utf8
+from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, tidied, utf8
 from quillon.llm.wavelet import BitVector, WaveletMatrix
 
 WINDOW = 8
 MIN_ITEMS = 2
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 600_000
+SHARD_WORDS = 300_000
 #: Phrases of a slice.
 SLICE_PHRASES = 200_000
 #: Distance of sampled text positions within a document.
@@ -223,16 +223,17 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[
     """Rows of a shard with their words; cuts at SHARD_WORDS."""
     rows: list[pa.RecordBatch] = []
     docs: list[list[bytes]] = []
+    known: dict[bytes, bytes] = {}  # one object for each distinct word of a shard
     total = 0
-    for batch in (p for b in batches for p in slices(b)):
+    for batch in (p for b in tidied(batches) for p in slices(b)):
         start = 0
         for k, text in enumerate(batch.column("text").to_pylist()):
-            docs.append(words(text))
+            docs.append([known.setdefault(w, w) for w in words(text)])
             total += len(docs[-1]) + 1
             if total >= SHARD_WORDS:
                 rows.append(batch.slice(start, k + 1 - start))
                 yield pa.Table.from_batches(rows), docs
-                rows, docs, total, start = [], [], 0, k + 1
+                rows, docs, known, total, start = [], [], {}, 0, k + 1
         if start < len(batch):
             rows.append(batch.slice(start))
     if docs:

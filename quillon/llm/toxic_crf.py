@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh_dir, get_bytes, per_text, put_bytes, slices, table, written
+from quillon.llm.common import fresh_dir, get_bytes, per_text, put_bytes, slices, table, tidied, written
 
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -471,7 +471,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(uri)
-        for batch in batches:
+        for batch in tidied(batches):
             if scorer is None:
                 yield batch
                 continue

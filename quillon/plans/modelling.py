@@ -25,12 +25,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _embeddings(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
-    cut = F.slice(F.col("embedding").cast("array<double>"), 1, dims)
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", cut.alias("x"))
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-DIMS = range(1, 5)
+#: Places of the vectors in ``embeddings``, from 1.
+DIMS = range(1, 65)
+#: Rows that the single-machine model of ``parallel_post_fit`` is trained on; it predicts all rows.
+TRAIN_ROWS = 200
 
 
 # Linear models and naive Bayes
@@ -117,8 +119,9 @@ def spectral_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Decomposition
 
 
-_COV = " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, round(covar_samp(CAST(embedding[{i}] AS DOUBLE), CAST(embedding[{j}] AS DOUBLE)), 6) + 0.0 AS value FROM embeddings" for i in DIMS for j in DIMS
+_COV = (
+    "WITH e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) "
+    "SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS value FROM e a JOIN e b USING (vec_id) GROUP BY a.k, b.k"
 )
 
 
@@ -247,7 +250,7 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parallel_post_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = _classes(spark, sf_dir)
-    sample = df.where("vec_id < 200").collect()
+    sample = df.orderBy("vec_id").limit(TRAIN_ROWS).collect()
     model = ensemble.ParallelPostFit(SGDClassifier()).fit(np.array([r["embedding"] for r in sample]), np.array([r["label"] for r in sample]), "embedding")
     return model.predict_proba(df).select("vec_id", "probability")
 
