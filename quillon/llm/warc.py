@@ -9,7 +9,11 @@ Reading: every member and record is checked (gzip checksum, version line,
 header lines, lengths, block and payload digests).  After a failed check the
 reader searches for the next gzip member that begins with a version line (in
 plain files: the next version line), goes on from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap.  Inside a member it searches for the next version
+line, also in what a broken member gave before its error, and logs the bad range
+of the inflated content.  In a broken member a record needs a digest that holds;
+if only the checksum of the whole fails and every record passes, the damage is
+in a header, which no digest covers, and the member is quarantined.
 
 Defined results: a null payload is an empty one; a null page_id sorts after all
 others, so it is referred to only by equal payloads without identifiers; rows
@@ -21,6 +25,7 @@ no archive and an empty result.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import mmap
 import re
@@ -118,16 +123,23 @@ class Record:
 
 @dataclass
 class Gap:
+    """Quarantined bytes; ``inner`` is their range in the inflated content if other records of the member are sound."""
+
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
+
+
+def _known_digest(claim: str | None) -> bool:
+    return (claim or "").partition(":")[0].lower().replace("-", "") in ("sha1", "sha256", "md5")
 
 
 def _digest_fails(claim: str | None, data: bytes) -> bool:
     """True if a digest of a known kind, in hex or base32, doesn't hold."""
-    kind, _, value = (claim or "").partition(":")
-    if kind.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+    if not _known_digest(claim):
         return False
+    kind, _, value = claim.partition(":")
     made = hashlib.new(kind.lower().replace("-", ""), data).digest()
     return value.lower() != made.hex() and value.upper().rstrip("=") != base64.b32encode(made).decode().rstrip("=")
 
@@ -161,21 +173,89 @@ def parse(data: bytes | mmap.mmap, at: int) -> tuple[Record, int]:
     return found, end + 4
 
 
-def _inflate(data: bytes | mmap.mmap, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and the position behind it; raises Damage."""
+@dataclass
+class Content:
+    """What a gzip member holds; ``end`` is None if it breaks off, ``error`` None if it is whole."""
+
+    body: bytes
+    end: int | None
+    error: str | None = None
+    #: All content is there and its checksum holds, or it was only cut short: what is there is right.
+    exact: bool = True
+    #: Only the checksum tells of damage, not where it is.
+    vague: bool = False
+
+
+def _until_error(unpack: zlib._Decompress, piece: bytes) -> tuple[bytes, str]:
+    """What ``piece`` inflates to before its error, and the error."""
+    out, todo = [], [piece]
+    while todo:
+        piece = todo.pop()
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(piece))
+        except zlib.error as e:
+            unpack = before
+            if len(piece) > 1:
+                todo += [piece[len(piece) // 2 :], piece[: len(piece) // 2]]
+                continue
+            with contextlib.suppress(zlib.error):
+                while made := unpack.decompress(piece, 1):
+                    out.append(made)
+                    piece = unpack.unconsumed_tail
+            return b"".join(out), str(e).partition(": ")[2] or str(e)
+    return b"".join(out), ""
+
+
+def _inflate(data: bytes | mmap.mmap, at: int) -> Content:
+    """The content of the gzip member at ``at``, as far as it goes; raises Damage if there is none."""
     if data[at : at + 3] != _MAGIC:
         raise Damage("no gzip member")
     unpack, parts, now = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            piece = data[now : now + _PIECE]
-            if not piece:
-                raise Damage("unfinished member")
+    while not unpack.eof:
+        piece = data[now : now + _PIECE]
+        if not piece:
+            return Content(b"".join(parts), None, "unfinished member")
+        before = unpack.copy() if now > at else zlib.decompressobj(31)
+        try:
             parts.append(unpack.decompress(piece))
-            now += len(piece)
-    except zlib.error as e:
-        raise Damage(f"bad member: {str(e).partition(': ')[2] or e}") from None
-    return b"".join(parts), now - len(unpack.unused_data)
+        except zlib.error:
+            made, error = _until_error(before, piece)
+            checksum, length = error == "incorrect data check", error == "incorrect length check"
+            return Content(b"".join([*parts, made]), None, f"bad member: {error}", length, checksum)
+        now += len(piece)
+    return Content(b"".join(parts), now - len(unpack.unused_data))
+
+
+def _proven(found: Record) -> bool:
+    """Whether a digest covers the block or the payload."""
+    return _known_digest(found.headers.get("warc-block-digest")) or (found.kind != "revisit" and _known_digest(found.headers.get("warc-payload-digest")))
+
+
+def _records(content: Content) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """Sound records of a member and the bad ranges (start, end, reason) of its content."""
+    body, records, bad, inside = content.body, [], [], 0
+    while inside < len(body):
+        try:
+            found, end = parse(body, inside)
+            if not (content.exact or _proven(found)):
+                raise Damage("no digest in a bad member", end)
+        except Damage as e:
+            end = e.end
+            if end is None or (end < len(body) and not _VERSION.match(body, end)):
+                ahead = _VERSION.search(body, inside + 1)
+                end = ahead.start() if ahead else len(body)
+            start, _, reason = bad.pop() if bad and bad[-1][1] == inside else (inside, inside, e.reason)
+            bad.append((start, end, reason))
+        else:
+            records.append(found)
+        inside = end
+    if content.vague and not bad:
+        return [], [(0, len(body), content.error)]
+    if content.error and not content.vague:
+        start = bad.pop()[0] if bad and bad[-1][1] == len(body) else len(body)
+        bad.append((start, len(body), content.error))
+    return records, bad
 
 
 def _opens(data: bytes | mmap.mmap, at: int) -> bool:
@@ -189,7 +269,7 @@ def _opens(data: bytes | mmap.mmap, at: int) -> bool:
 def salvage(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, Record] | Gap]:
     """(start, end, record) of all sound records, and a Gap for what lies between them.
 
-    Records of one member share its bytes.
+    Records and gaps of one member share its bytes.
     """
     packed = data[:2] == _MAGIC[:2] or (data.find(b"WARC/1.") != 0 and data.find(_MAGIC) >= 0)
     at, size = 0, len(data)
@@ -209,16 +289,17 @@ def salvage(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, Record] | Gap]:
 
     bad, why = None, ""
     while at < size:
+        ranges: list[tuple[int, int, str]] = []
         try:
             if packed:
-                body, end = _inflate(data, at)
-                inside, records = 0, []
-                while inside < len(body):
-                    try:
-                        found, inside = parse(body, inside)
-                    except Damage as e:
-                        raise Damage(e.reason, end) from None
-                    records.append(found)
+                content = _inflate(data, at)
+                records, ranges = _records(content)
+                end = next_start(at + 1) if content.end is None else content.end
+                if ranges and not records:
+                    if bad is None:
+                        bad, why = at, content.error or ranges[0][2]
+                    at = end
+                    continue
             else:
                 found, end = parse(data, at)
                 records = [found]
@@ -232,6 +313,8 @@ def salvage(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, Record] | Gap]:
             bad = None
         for found in records:
             yield at, end, found
+        for start, stop, reason in ranges:
+            yield Gap(at, end, reason, (start, stop))
         at = end
     if bad is not None:
         yield Gap(bad, size, why)
@@ -306,6 +389,8 @@ _SCAN = pa.schema(
         ("start", pa.int64()),
         ("stop", pa.int64()),
         ("gap", pa.string()),
+        ("inner_start", pa.int64()),
+        ("inner_stop", pa.int64()),
         ("record_type", pa.string()),
         ("record_id", pa.string()),
         ("refers_to", pa.string()),
@@ -316,7 +401,7 @@ _SCAN = pa.schema(
     ]
 )
 _SCAN_SCHEMA = (
-    "path string, start long, stop long, gap string, record_type string, record_id string, refers_to string, "
+    "path string, start long, stop long, gap string, inner_start long, inner_stop long, record_type string, record_id string, refers_to string, "
     "target_uri string, payload_bytes long, payload_digest string, payload binary"
 )
 _BATCH_ROWS, _BATCH_BYTES = 2000, 16 << 20
@@ -333,7 +418,8 @@ def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
     def rows(path: str) -> Iterator[dict]:
         for found in salvage(open_archive(path)):
             if isinstance(found, Gap):
-                yield {"path": path, "start": found.start, "stop": found.end, "gap": found.reason}
+                inner = found.inner or (None, None)
+                yield {"path": path, "start": found.start, "stop": found.end, "gap": found.reason, "inner_start": inner[0], "inner_stop": inner[1]}
                 continue
             start, stop, r = found
             row = {"path": path, "start": start, "stop": stop, "record_type": r.kind, "record_id": r.headers.get("warc-record-id")}
@@ -366,8 +452,8 @@ def read_warc(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     revisit whose response isn't there has none.
     """
     found = written(scan(archives).drop("payload"), "scan")
-    quarantine = found.where("gap IS NOT NULL").select("path", "start", "stop", F.col("gap").alias("reason"))
-    records = found.where("gap IS NULL").drop("gap")
+    quarantine = found.where("gap IS NOT NULL").select("path", "start", "stop", F.col("gap").alias("reason"), "inner_start", "inner_stop")
+    records = found.where("gap IS NULL").drop("gap", "inner_start", "inner_stop")
     wanted = records.where("record_type = 'revisit'").select("refers_to").distinct()
     response = records.where("record_type = 'response'").select("record_id", "payload_bytes", "payload_digest")
     response = response.join(wanted, response["record_id"] == wanted["refers_to"], "left_semi")

@@ -86,6 +86,41 @@ def test_several_records_in_one_member_and_empty_archives():
     assert gaps(list(warc.salvage(b"nothing"))) == [(0, 7)]
 
 
+def test_bad_records_of_a_grouped_member_cost_only_themselves():
+    parts = sample(6)
+    parts[1] = parts[1].replace(b"WARC-Payload-Digest: sha256:", b"WARC-Payload-Digest: sha256:0")
+    parts[4] = parts[4].replace(b"WARC-Date: ", b"WARC-Date ", 1).replace(b"Date 2024-01-01T00:00:00Z", b"Date")
+    starts = [sum(map(len, parts[:k])) for k in range(7)]
+    data = warc.member(b"".join(parts))
+    found = list(warc.salvage(data + warc.member(sample(1)[0])))
+    assert ids(found) == [warc.record_id(k) for k in (0, 2, 3, 5, 0)]
+    assert [f.inner for f in found if isinstance(f, warc.Gap)] == [(starts[1], starts[2]), (starts[4], starts[5])]
+    assert all((f.start, f.end) == (0, len(data)) for f in found if isinstance(f, warc.Gap))
+
+
+@pytest.mark.parametrize("level", [0, 4])
+def test_one_stream_cut_short_or_broken_gives_the_records_before(level):
+    parts = sample(40)
+    data = warc.member(b"".join(parts), level)
+    cut = list(warc.salvage(data[: len(data) * 2 // 3]))
+    n = len(ids(cut))
+    assert 20 < n < 30 and ids(cut) == [warc.record_id(k) for k in range(n)] and [f.reason for f in cut if isinstance(f, warc.Gap)] == ["unfinished member"]
+    hurt = bytearray(data)
+    hurt[len(data) // 2 : len(data) // 2 + 600] = b"\xff" * 600
+    found = list(warc.salvage(bytes(hurt) + warc.member(parts[0])))
+    sound = [r for r in found if not isinstance(r, warc.Gap)]
+    assert ids(found)[:10] == [warc.record_id(k) for k in range(10)] and ids(found)[-1] == warc.record_id(0) and len(gaps(found)) >= 1
+    whole = {warc.record_id(k): next(warc.salvage(p))[2].block for k, p in enumerate(parts)}
+    assert all(whole[r[2].headers["warc-record-id"]] == r[2].block for r in sound)
+
+
+def test_a_checksum_that_tells_no_place_quarantines_the_member():
+    data = bytearray(warc.member(b"".join(sample(3)), 0))
+    at = data.find(b"http://x/1")
+    data[at] ^= 1
+    assert ids(list(warc.salvage(bytes(data)))) == []
+
+
 def brute(rows: list[tuple]) -> list[tuple]:
     first: dict[bytes, int | None] = {}
     for page_id, _, html in rows:
