@@ -7,13 +7,14 @@ the others are revisits that refer to it.
 
 Reading: every member and record is checked (gzip checksum, version line,
 header lines, lengths, block and payload digests).  After a failed check the
-reader searches for the next gzip member that begins with a version line (in
-plain files: the next version line), goes on from there, and logs the bytes
-between as a quarantined gap.  Inside a member it searches for the next version
-line, also in what a broken member gave before its error, and logs the bad range
-of the inflated content.  In a broken member a record needs a digest that holds;
-if only the checksum of the whole fails and every record passes, the damage is
-in a header, which no digest covers, and the member is quarantined.
+reader searches for the nearest gzip member that begins with a version line or
+version line in the clear, whatever the file held before, goes on from there,
+and logs the bytes between as a quarantined gap.  Inside a member it searches
+for the next version line, also in what a broken member gave before its error,
+and logs the bad range of the inflated content.  In a broken member a record
+needs a digest that holds; if only the checksum of the whole fails and every
+record passes, the damage is in a header, which no digest covers, and the member
+is quarantined.
 
 Defined results: a null payload is an empty one; a null page_id sorts after all
 others, so it is referred to only by equal payloads without identifiers; rows
@@ -31,7 +32,7 @@ import mmap
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -51,6 +52,7 @@ ENTRY_BYTES = 256
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PIECE = 1 << 16
+_CHECKSUM, _LENGTH = "bad member: incorrect data check", "bad member: incorrect length check"
 #: Longest header block of a record.
 HEADER_BYTES = 1 << 20
 
@@ -182,18 +184,21 @@ class Content:
     error: str | None = None
     #: All content is there and its checksum holds, or it was only cut short: what is there is right.
     exact: bool = True
+    #: Up to here a broken member was read; version lines before that may be its own, stored in the clear.
+    read: int = 0
     #: Only the checksum tells of damage, not where it is.
     vague: bool = False
 
 
-def _until_error(unpack: zlib._Decompress, piece: bytes) -> tuple[bytes, str]:
-    """What ``piece`` inflates to before its error, and the error."""
-    out, todo = [], [piece]
+def _until_error(unpack: zlib._Decompress, piece: bytes) -> tuple[bytes, str, int]:
+    """What ``piece`` inflates to before its error, the error, and the bytes read."""
+    out, todo, used = [], [piece], 0
     while todo:
         piece = todo.pop()
         before = unpack.copy()
         try:
             out.append(unpack.decompress(piece))
+            used += len(piece)
         except zlib.error as e:
             unpack = before
             if len(piece) > 1:
@@ -203,26 +208,24 @@ def _until_error(unpack: zlib._Decompress, piece: bytes) -> tuple[bytes, str]:
                 while made := unpack.decompress(piece, 1):
                     out.append(made)
                     piece = unpack.unconsumed_tail
-            return b"".join(out), str(e).partition(": ")[2] or str(e)
-    return b"".join(out), ""
+            return b"".join(out), str(e).partition(": ")[2] or str(e), used + 1
+    return b"".join(out), "", used
 
 
-def _inflate(data: bytes | mmap.mmap, at: int) -> Content:
-    """The content of the gzip member at ``at``, as far as it goes; raises Damage if there is none."""
-    if data[at : at + 3] != _MAGIC:
-        raise Damage("no gzip member")
+def _inflate(data: bytes | mmap.mmap, at: int, stop: int | None = None) -> Content:
+    """The content of the gzip member at ``at``, as far as it goes before ``stop``."""
     unpack, parts, now = zlib.decompressobj(31), [], at
     while not unpack.eof:
-        piece = data[now : now + _PIECE]
+        piece = data[now : now + _PIECE if stop is None else min(now + _PIECE, stop)]
         if not piece:
-            return Content(b"".join(parts), None, "unfinished member")
+            return Content(b"".join(parts), None, "unfinished member", read=now)
         before = unpack.copy() if now > at else zlib.decompressobj(31)
         try:
             parts.append(unpack.decompress(piece))
         except zlib.error:
-            made, error = _until_error(before, piece)
-            checksum, length = error == "incorrect data check", error == "incorrect length check"
-            return Content(b"".join([*parts, made]), None, f"bad member: {error}", length, checksum)
+            made, error, used = _until_error(before, piece)
+            error = f"bad member: {error}"
+            return Content(b"".join([*parts, made]), None, error, error == _LENGTH, now + used, error == _CHECKSUM)
         now += len(piece)
     return Content(b"".join(parts), now - len(unpack.unused_data))
 
@@ -266,35 +269,46 @@ def _opens(data: bytes | mmap.mmap, at: int) -> bool:
         return False
 
 
+def _member(data: bytes | mmap.mmap, start: int) -> int:
+    while (start := data.find(_MAGIC, start)) >= 0 and not _opens(data, start):
+        start += 1
+    return len(data) if start < 0 else start
+
+
+def _version(data: bytes | mmap.mmap, start: int) -> int:
+    found = _VERSION.search(data, start)
+    return found.start() if found else len(data)
+
+
 def salvage(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, Record] | Gap]:
     """(start, end, record) of all sound records, and a Gap for what lies between them.
 
     Records and gaps of one member share its bytes.
     """
-    packed = data[:2] == _MAGIC[:2] or (data.find(b"WARC/1.") != 0 and data.find(_MAGIC) >= 0)
     at, size = 0, len(data)
+    #: Of each kind of start the nearest one found, and where that search began.
+    ahead = {_member: (0, -1), _version: (0, -1)}
 
-    def next_start(start: int) -> int:
-        while start < size:
-            if packed:
-                start = data.find(_MAGIC, start)
-                if start < 0 or _opens(data, start):
-                    break
-                start += 1
-            else:
-                found = _VERSION.search(data, start)
-                start = found.start() if found else -1
-                break
-        return size if start < 0 else min(start, size)
+    def next_start(start: int, clear: int | None = None) -> int:
+        """The nearest member that opens with a version line, or version line in the clear from ``clear`` on."""
+        for find, low in ((_member, start), (_version, start if clear is None else clear)):
+            if not ahead[find][0] <= low <= ahead[find][1]:
+                ahead[find] = low, find(data, low)
+        return min(found for _, found in ahead.values())
 
     bad, why = None, ""
     while at < size:
         ranges: list[tuple[int, int, str]] = []
         try:
-            if packed:
+            if data[at : at + 3] == _MAGIC:
                 content = _inflate(data, at)
+                end = content.end
+                if end is None:
+                    end = next_start(at + 1, content.read)
+                    if end < content.read:
+                        # It was read on into the next member.
+                        content = replace(_inflate(data, at, end), error=content.error, exact=False)
                 records, ranges = _records(content)
-                end = next_start(at + 1) if content.end is None else content.end
                 if ranges and not records:
                     if bad is None:
                         bad, why = at, content.error or ranges[0][2]

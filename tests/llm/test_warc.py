@@ -121,6 +121,33 @@ def test_a_checksum_that_tells_no_place_quarantines_the_member():
     assert ids(list(warc.salvage(bytes(data)))) == []
 
 
+def with_magic(k: int) -> bytes:
+    body = b"\x1f\x8b\x08 no member " + gzip.compress(b"text") + bytes([k])
+    return warc.record(k, f"http://x/{k}", body, hashlib.sha256(body).hexdigest(), None, False)
+
+
+def test_plain_archive_with_gzip_bytes_and_a_damaged_start():
+    parts = [with_magic(k) for k in range(4)]
+    data = b"junk" + b"".join(parts)
+    found = list(warc.salvage(data))
+    assert ids(found) == [warc.record_id(k) for k in range(4)] and gaps(found) == [(0, 4)]
+    found = list(warc.salvage(b"X" + b"".join(parts)[1:]))
+    assert ids(found) == [warc.record_id(k) for k in range(1, 4)] and gaps(found) == [(0, len(parts[0]))]
+
+
+def test_members_and_plain_records_in_one_file():
+    parts = [warc.member(with_magic(0)), with_magic(1), b"\x1f\x8b\x08junk", with_magic(2), b"junk", warc.member(with_magic(3)), with_magic(4)]
+    found = list(warc.salvage(b"".join(parts)))
+    assert ids(found) == [warc.record_id(k) for k in range(5)] and len(gaps(found)) == 2
+
+
+@pytest.mark.parametrize("level", [0, 4])
+def test_a_cut_member_before_others_gives_no_record_twice(level):
+    parts = [warc.member(r, level) for r in sample(4)]
+    found = list(warc.salvage(parts[0] + parts[1][: len(parts[1]) // 2] + parts[2] + parts[3]))
+    assert ids(found) == [warc.record_id(k) for k in (0, 2, 3)]
+
+
 def brute(rows: list[tuple]) -> list[tuple]:
     first: dict[bytes, int | None] = {}
     for page_id, _, html in rows:
