@@ -53,8 +53,6 @@ _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PIECE = 1 << 16
 _CHECKSUM, _LENGTH = "bad member: incorrect data check", "bad member: incorrect length check"
-#: Longest header block of a record.
-HEADER_BYTES = 1 << 20
 
 
 # Records
@@ -151,11 +149,16 @@ def parse(data: bytes | mmap.mmap, at: int) -> tuple[Record, int]:
     start = _VERSION.match(data, at)
     if not start:
         raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if stop < 0:
-        raise Damage("unfinished header")
     headers: dict[str, str] = {}
-    for line in data[start.end() : stop].split(b"\r\n"):
+    # Line by line, of any length: a header that doesn't end stops at the next version line, which has no colon.
+    body = start.end()
+    while True:
+        stop = data.find(b"\r\n", body)
+        if stop < 0:
+            raise Damage("unfinished header")
+        line, body = data[body:stop], stop + 2
+        if not line:
+            break
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Damage("bad header line")
@@ -163,7 +166,6 @@ def parse(data: bytes | mmap.mmap, at: int) -> tuple[Record, int]:
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,15}", length):
         raise Damage("bad length")
-    body = stop + 4
     end = body + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("block ends elsewhere")
@@ -449,7 +451,7 @@ def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 for row in rows(path):
                     held.append(row)
-                    size += len(row.get("payload") or b"")
+                    size += len(row.get("payload") or b"") + len(row.get("target_uri") or "")
                     if len(held) >= _BATCH_ROWS or size >= _BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, _SCAN)
                         held, size = [], 0

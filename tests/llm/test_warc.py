@@ -178,6 +178,16 @@ def test_odd_pages(spark):
     assert quarantine.count() == 0
 
 
+def test_very_long_urls(spark):
+    urls = {1: "data:text/html," + "x" * 2_000_000, 2: "http://a/" + "\n" * 700_000, 3: "http://b/"}
+    pages = spark.createDataFrame([(k, u, "short") for k, u in urls.items()], "page_id long, url string, html string")
+    records, quarantine = warc.read_warc(warc.write_warc(pages))
+    found = {r["page_id"]: r["target_uri"] for r in records.select(warc.page_of("record_id").alias("page_id"), "target_uri").collect()}
+    assert found == {k: u.replace("\n", "%0A") for k, u in urls.items()} and quarantine.count() == 0
+    plain = warc.record(1, urls[1], b"", hashlib.sha256(b"").hexdigest(), None, False)
+    assert ids(list(warc.salvage(plain * 2))) == [warc.record_id(1)] * 2
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     records, quarantine = warc.read_warc(warc.write_warc(pages))
