@@ -80,8 +80,19 @@ class Categorizer(_Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self.check_fitted("categories_")
-        known = {c: F.col(f"`{c}`").isin(v) if v else F.lit(False) for c, v in self.categories_.items() if len(v) <= LITERAL}
-        return replaced(df, {c: F.when(k, F.col(f"`{c}`")) for c, k in known.items()})
+        names, new = df.columns, {}
+        for k, (name, categories) in enumerate(self.categories_.items()):
+            column = F.col(f"`{name}`")
+            if len(categories) <= LITERAL:
+                known = column.isin(categories) if categories else F.lit(False)
+            else:
+                # Each category once, so that the join repeats no row.
+                kept = [(c,) for c in dict.fromkeys(categories) if c is not None]
+                table = df.sparkSession.createDataFrame(kept, f"`__known_{k}` {dict(df.dtypes)[name]}")
+                df = df.join(F.broadcast(table), column == F.col(f"__known_{k}"), "left")  # bounded by MAX_CATEGORIES
+                known = F.col(f"__known_{k}").isNotNull()
+            new[name] = F.when(known, column)
+        return replaced(df, new).select(*[F.col(f"`{c}`") for c in names])
 
 
 class OrdinalEncoder(_Fitted):

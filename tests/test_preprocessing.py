@@ -190,3 +190,14 @@ def test_params_and_pipeline(numbers):
     assert copy.get_params() == {"feature_range": (0, 5), "columns": ["a"]}
     with pytest.raises(ValueError):
         copy.set_params(nothing=1)
+
+
+@pytest.mark.parametrize("n", [E.LITERAL, E.LITERAL + 1])
+def test_categorizer_drops_unseen_values_on_both_sides_of_the_limit(spark, n):
+    seen = spark.createDataFrame([(k, f"c{k}") for k in range(n)], "id long, a string")
+    rows = spark.createDataFrame([("c0", 1), ("c0", 2), ("unseen", 3), (None, 4), (f"c{n - 1}", 5)], "a string, id long")
+    made = E.Categorizer(columns=["a"]).fit(seen).transform(rows)
+    assert made.columns == ["a", "id"]
+    assert [(r["id"], r["a"]) for r in made.orderBy("id").collect()] == [(1, "c0"), (2, "c0"), (3, None), (4, None), (5, f"c{n - 1}")]
+    given = E.Categorizer({"a": [f"c{k}" for k in range(n - 1)] + ["c0"]}).fit(seen).transform(rows)
+    assert [(r["id"], r["a"]) for r in given.orderBy("id").collect()] == [(1, "c0"), (2, "c0"), (3, None), (4, None), (5, None)]
