@@ -49,6 +49,8 @@ def lloyd(x: np.ndarray, centers: np.ndarray, steps: int = 100) -> np.ndarray:
 class KMeans(Estimator):
     """Lloyd's algorithm; ``init`` is k-means||, k-means++, random or an array of centers.
 
+    k-means++ sees all rows, in two passes for each center; k-means|| needs fewer.
+
     ``inertia_`` is the sum of plain distances to the centers, as ``compat``
     asks for, or else of squared ones.  ``key`` names a column that tells rows
     apart for random choices (a hash of the features if None).
@@ -86,6 +88,58 @@ class KMeans(Estimator):
         picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).collect()
         return np.array([r["x"] for r in picked])
 
+    def _plus_plus(self, rows: DataFrame, k: int) -> np.ndarray:
+        """Greedy k-means++ over all rows: a pass draws candidates by squared distance, another takes the best of them.
+
+        The row with the smallest -log(u) / weight is drawn with a chance in
+        proportion to its weight; equal rows are one with their number as weight.
+        """
+        points = rows.groupBy("id", "x").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
+        trials = 2 + int(np.log(k))
+
+        def drawn(at: np.ndarray | None, r: int) -> np.ndarray:
+            tries = trials if at is not None else 1
+            u = [F.shiftrightunsigned(F.xxhash64("id", "x", F.lit(self.random_state), F.lit(r), F.lit(t)), 11).cast("double") for t in range(tries)]
+
+            def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                found: dict[int, tuple[float, list]] = {}
+                for batch in batches:
+                    if not len(batch):
+                        continue
+                    weight = batch["n"].to_numpy()
+                    if at is not None:
+                        weight = weight * _near(matrix(batch["x"]), at)[1]
+                    chance = matrix(batch["u"])
+                    for t in range(tries):
+                        race = np.where(weight > 0, -np.log((chance[:, t] + 0.5) / (1 << 53)) / np.where(weight > 0, weight, 1), np.inf)
+                        low = int(race.argmin())
+                        if race[low] < np.inf:
+                            found[t] = min(found.get(t, (np.inf, [])), (float(race[low]), [float(v) for v in batch["x"].iloc[low]]))
+                if found:
+                    yield pd.DataFrame({"t": list(found), "race": [f[0] for f in found.values()], "x": [f[1] for f in found.values()]})
+
+            made = points.select("x", "n", F.array(*u).alias("u")).mapInPandas(best, "t int, race double, x array<double>")
+            rows_ = made.groupBy("t").agg(F.min(F.struct("race", "x")).alias("of")).orderBy("t").collect()  # ``tries`` rows
+            return np.array([r_["of"]["x"] for r_ in rows_])
+
+        try:
+            centers = drawn(None, 0)
+            while len(centers) < k:
+                found = drawn(centers, len(centers))
+                if not len(found):
+                    return np.concatenate((centers, self._draw(rows, k - len(centers), self.random_state + 1)))
+                at = centers
+
+                def costs(x: np.ndarray, n: np.ndarray, at: np.ndarray = at, found: np.ndarray = found) -> np.ndarray:
+                    near = _near(x, at)[1]
+                    return np.array([(n * np.minimum(near, _near(x, c[None])[1])).sum() for c in found])
+
+                left = partial_sums(points, [F.col("x"), F.col("n")], costs, len(found))
+                centers = np.concatenate((centers, found[[int(left.argmin())]]))
+            return centers
+        finally:
+            points.unpersist()
+
     def _start(self, rows: DataFrame, n: int, d: int) -> np.ndarray:
         rng, k = np.random.default_rng(self.random_state), self.n_clusters
         if isinstance(self.init, np.ndarray):
@@ -95,8 +149,7 @@ class KMeans(Estimator):
         if self.init == "random":
             return self._draw(rows, k, self.random_state)
         if self.init == "k-means++":
-            # On a bounded sample: k-means++ itself needs k passes.
-            return kmeans_pp(self._draw(rows, 50 * k, self.random_state), k, rng)
+            return self._plus_plus(rows, k)
         if self.init != "k-means||":
             raise (ValueError if isinstance(self.init, str) else TypeError)(f"'init' must be 'k-means||', 'k-means++', 'random' or an array, got {self.init!r}")
         centers = self._draw(rows, 1, self.random_state)

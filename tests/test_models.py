@@ -108,6 +108,17 @@ def test_kmeans_on_clear_blobs(spark, init):
     assert np.allclose(column(model.transform(df), "distances"), np.sqrt(d))
 
 
+def test_kmeans_plus_plus_seeds_a_small_far_cluster(spark):
+    x = np.random.default_rng(0).normal(size=(20_000, 2))
+    x[[5, 7000, 19_000]] += 1e4
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, x array<double>")
+    for key in ("id", None):
+        seeds = cluster.KMeans(2, init="k-means++", key=key, random_state=1, max_iter=0).fit(df, "x").cluster_centers_
+        assert seeds.max() > 5000 and seeds.min() < 100
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)], "id long, x array<double>")
+    assert np.allclose(cluster.KMeans(3, init="k-means++", max_iter=0).fit(same, "x").cluster_centers_, [1.0, 2.0])
+
+
 def test_kmeans_errors(spark):
     good = frame(spark, [[0, 1], [1, 0]])
     for bad in (frame(spark, [[0, float("nan")], [1, 1]]), frame(spark, [[0, float("inf")], [1, 1]]), good.limit(0)):
