@@ -1,8 +1,9 @@
-"""Exact deduplication by a log-structured merge index of digests.
+"""Exact deduplication by sorted runs of digests, merged at once.
 
 Every task of the input is a memtable: it flushes one run of (digest, doc_id)
-sorted by digest, with a Bloom filter in the file.  Compaction merges the runs
-and keeps the smallest identifier and the count of each digest.  A document
+sorted by digest, with a Bloom filter in the file.  One aggregation over all
+runs stands for compaction and keeps the smallest identifier and the count of
+each digest; there is no older level, and neither order nor filters are read.  A document
 whose digest is held by another one is a hit; hits are verified by comparing
 the normalised bytes with those of the document that stays, and digests for
 which that fails are resolved by whole texts.
@@ -43,7 +44,7 @@ def first_of(doc_id: str = "doc_id", *rest: str) -> Column:
 
 
 class MergeIndex:
-    """Digest index in the shared folder: ``add`` flushes runs, ``compact`` merges them."""
+    """Digest index in the shared folder: ``add`` flushes runs, ``compact`` aggregates all of them."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or fresh_dir(spark, "lsm")
@@ -66,7 +67,7 @@ class MergeIndex:
         return self.spark.read.parquet(self.runs[-1])
 
     def compact(self) -> DataFrame:
-        """Merge the new runs with the last level: (digest, first, entries)."""
+        """Aggregate all runs into one level: (digest, first, entries)."""
         merged = None
         for k, path in enumerate(self.runs):
             run = self.spark.read.parquet(path)
