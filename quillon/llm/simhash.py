@@ -45,6 +45,8 @@ BLOCK = 4096
 #: Groups up to this size are compared pair by pair of offsets, many groups at once.
 SMALL = 32
 ENTRY_BYTES = 64
+#: The same of an entry with an identifier and a digest.
+ROW_BYTES = 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -174,8 +176,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
+def _with_components(docs: DataFrame, entry_bytes: int = ENTRY_BYTES) -> DataFrame:
+    """(doc_id, fp, component) of every document; component is the smallest doc_id of several rows that are linked."""
     made = written(per_text(docs, "fp long", _fingerprints), "fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
     edges = links(distinct.select("fp"))
@@ -183,18 +185,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = distinct.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component"), F.sum("n").alias("members")).where("members > 1")
     several = written(grouped.join(lowest, "root").select("fp", "component"), "several")
-    joined = made.join(bounded(several, ENTRY_BYTES), "fp", "left")
-    return joined.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+    return made.join(bounded(several, entry_bytes), "fp", "left").select("doc_id", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every document."""
+    return _with_components(docs).select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id.
+    """The documents that stay: of each component one row.
 
-    Repeated rows of that identifier all stay (exact deduplication leaves one).
+    It is the one with the smallest doc_id, null last, and of those the smallest
+    SHA-256 of the text.  Rows are told apart by both, which a second read of
+    ``docs`` gives again, unlike row numbers; of rows equal in both one stays.
     """
-    dropped = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("__quillon_id"))
-    dropped = bounded(written(dropped.distinct(), "dropped"), ENTRY_BYTES)
-    return docs.join(dropped, F.col("doc_id") == F.col("__quillon_id"), "left_anti")
+    mark, id_ = "__quillon_digest", "__quillon_id"
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    found = _with_components(docs.select(row.alias("doc_id"), "text"), ROW_BYTES).where("component IS NOT NULL")
+    members = written(found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component")).alias("kept")), "members")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id.id").alias(id_), F.col("doc_id.digest").alias(f"{mark}_of"))
+
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(f"{mark}_of"))
+    dropped = bounded(written(keys(members.where("NOT kept")).distinct(), "dropped"), ROW_BYTES)
+    stay = docs.withColumn(mark, digest).join(dropped, same, "left_anti")
+    repeats = members.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeats = written(keys(repeats), "repeats")
+    if repeats.isEmpty():
+        return stay.select(*docs.columns)
+    repeats = bounded(repeats, ROW_BYTES)
+    single = stay.join(repeats, same, "left_semi").dropDuplicates([mark, "doc_id"])
+    return stay.join(repeats, same, "left_anti").unionByName(single).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,14 @@ def test_bit_sliced_distances(radius):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(k, 0) for k in range(200)}
+
+
+def test_near_copies_without_or_with_repeated_identifiers_leave_one_row(spark):
+    near, other = "one two three four five six seven", "entirely different words stand in this other document"
+    rows = [
+        (None, near, 1), (None, near + " ", 2), (7, near, 3), (None, other, 4), (None, other, 5), (7, "a text of its own that shares an identifier", 6),
+        (9, near, 7), (9, "one more clean text under the identifier nine", 8), (None, "alone without identifier here", 9), (3, "x y z w", 10), (3, "x y z w", 11),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = sorted(r["n"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept in ([3, 4, 6, 8, 9, 10], [3, 5, 6, 8, 9, 10], [3, 4, 6, 8, 9, 11], [3, 5, 6, 8, 9, 11])
