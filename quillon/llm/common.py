@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in bytes as Catalyst will hold it, that a join may broadcast.
+#: Largest table, in measured bytes, that a join may broadcast; read at each call.
 BROADCAST_BYTES = 64 << 20
+#: Input bytes of a task where an operator sets the number of tasks itself.
+TASK_BYTES = 128 << 20
 #: Bytes of a batch that are turned into Python objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -28,12 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where none is configured."""
+    """The shared folder; a local one is set only in local mode, where none is configured.
+
+    On a cluster executors can't see the driver's folders, so that a missing
+    setting is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
         root = context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not context.getCheckpointDir():
@@ -45,20 +54,41 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+def written(df: DataFrame, tag: str, partition: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.options(**options).parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a written table for broadcast if its counted size is within ``limit``.
+def measured_bytes(df: DataFrame, row_bytes: int) -> int:
+    """Bytes of a written table in memory: ``row_bytes`` for each row, and the real lengths of strings and nested values."""
+    wide = []
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            wide.append(F.octet_length(column))
+        elif kind.startswith(("array", "map", "struct")):
+            wide.append(F.octet_length(F.to_json(F.struct(column))))
+    length = sum((F.coalesce(w.cast("long"), F.lit(0)) for w in wide), F.lit(0).cast("long"))
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(length)).first()
+    return rows * row_bytes + (held or 0)
+
+
+def bounded(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
+    """Mark a written table for broadcast if its measured size is within ``limit`` (``BROADCAST_BYTES`` if None).
 
     Beyond the limit the table is returned as it is and Catalyst shuffles.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if measured_bytes(df, row_bytes) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for a shuffle of ``df``: the session's number, or more where Catalyst's size of the input asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else max(least, -(-size // task_bytes))  # Catalyst gives the largest long for an unknown size
 
 
 def local_path(uri: str) -> str | None:
@@ -103,7 +133,8 @@ def get_bytes(uri: str) -> bytes:
 
 
 def arrow_type(kind: str) -> pa.DataType:
-    return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}.get(kind)
+    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.list_(plain[kind[6:-1]]) if kind.startswith("array<") else plain[kind]
 
 
 def tidy() -> None:
