@@ -18,9 +18,11 @@ is quarantined.
 
 Defined results: a null payload is an empty one; a null page_id sorts after all
 others, so it is referred to only by equal payloads without identifiers; rows
-that repeat the smallest page_id of a payload are each a response; a null url
-gives a record without target; other columns are ignored; an empty table gives
-no archive and an empty result.
+that repeat the smallest page_id of a payload are each a response; a page_id with
+several payloads has a record of each, and a revisit takes length and digest of
+the payload that it repeats; a null url gives a record without target; urls and
+payloads of any length stay whole; other columns, whatever their names, are
+ignored; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, fresh_dir, get_bytes, local_path, put_bytes, table, written
+from quillon.llm.common import TASK_BYTES, bounded, fresh_dir, get_bytes, local_path, put_bytes, table, written
 
 REVISIT_BYTES = 100
 #: A file ends with the record that reaches this size.
@@ -413,12 +415,13 @@ _SCAN = pa.schema(
         ("target_uri", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
+        ("claim", pa.string()),
         ("payload", pa.binary()),
     ]
 )
 _SCAN_SCHEMA = (
     "path string, start long, stop long, gap string, inner_start long, inner_stop long, record_type string, record_id string, refers_to string, "
-    "target_uri string, payload_bytes long, payload_digest string, payload binary"
+    "target_uri string, payload_bytes long, payload_digest string, claim string, payload binary"
 )
 _BATCH_ROWS, _BATCH_BYTES = 2000, 16 << 20
 
@@ -427,9 +430,12 @@ def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """Records and gaps of the archives in column ``path``; rows with a ``gap`` reason are quarantined bytes.
 
     Length and digest are of the payload as it was read (null for revisits,
-    which have none); ``payloads`` asks for the bytes too.
+    which have none), ``claim`` is the payload digest of the header in lower
+    case; ``payloads`` asks for the bytes too.
     """
     tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "bytes" in archives.columns:
+        tasks = max(tasks, -(-(archives.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
 
     def rows(path: str) -> Iterator[dict]:
         for found in salvage(open_archive(path)):
@@ -440,6 +446,8 @@ def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
             start, stop, r = found
             row = {"path": path, "start": start, "stop": stop, "record_type": r.kind, "record_id": r.headers.get("warc-record-id")}
             row |= {"refers_to": r.headers.get("warc-refers-to"), "target_uri": r.headers.get("warc-target-uri")}
+            if claim := r.headers.get("warc-payload-digest"):
+                row["claim"] = claim.lower()
             if r.kind != "revisit":
                 body = r.payload
                 row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest(), "payload": body if payloads else None}
@@ -464,21 +472,27 @@ def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def read_warc(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of the archives.
 
-    Revisits take length and digest of the response that they refer to; a
-    revisit whose response isn't there has none.
+    Revisits take length and digest of the response that they refer to.  If
+    several responses have that identifier, it is the one whose header names the
+    revisit's payload digest; a revisit without a digest takes that of an
+    identifier with a single payload.  A revisit whose response isn't there has
+    neither length nor digest.
     """
     found = written(scan(archives).drop("payload"), "scan")
     quarantine = found.where("gap IS NOT NULL").select("path", "start", "stop", F.col("gap").alias("reason"), "inner_start", "inner_stop")
     records = found.where("gap IS NULL").drop("gap", "inner_start", "inner_stop")
     wanted = records.where("record_type = 'revisit'").select("refers_to").distinct()
-    response = records.where("record_type = 'response'").select("record_id", "payload_bytes", "payload_digest")
+    response = records.where("record_type = 'response'").select("record_id", "claim", "payload_bytes", "payload_digest")
     response = response.join(wanted, response["record_id"] == wanted["refers_to"], "left_semi")
-    # Records with one identifier may repeat; they have one payload.
-    response = response.groupBy(F.col("record_id").alias("response_id")).agg(
-        F.min(F.struct("payload_digest", "payload_bytes")).alias("of")
-    )
+    # Records with one identifier may repeat, with equal payloads or with different ones.
+    of = F.struct("payload_digest", "payload_bytes")
+    key, none = F.col("record_id").alias("response_id"), F.lit("")
+    claimed = response.where("claim IS NOT NULL").groupBy(key, F.col("claim").alias("response_claim")).agg(F.min(of).alias("of"))
+    single = response.groupBy(key).agg(F.min(of).alias("of"), F.max(of).alias("last")).where("of = last")
+    response = claimed.unionByName(single.select("response_id", none.alias("response_claim"), "of"))
     response = bounded(written(response, "responses"), ENTRY_BYTES)
-    joined = records.join(response, records["refers_to"] == response["response_id"], "left")
+    same = (records["refers_to"] == response["response_id"]) & (F.coalesce(records["claim"], none) == response["response_claim"])
+    joined = records.join(response, same, "left")
     columns = ["path", "start", "stop", "record_type", "record_id", "refers_to", "target_uri"]
     sizes = [F.coalesce(n, f"of.{n}").alias(n) for n in ("payload_bytes", "payload_digest")]
     return joined.select(*columns, *sizes), quarantine

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -169,7 +170,7 @@ def test_odd_pages(spark):
     long = "é" * 60
     rows = [
         (5, "http://a/", long), (3, "http://b/\r\nX: y", long), (None, None, long), (3, "http://b2/", long), (9, "http://c/", "short"),
-        (8, "http://d/", "short"), (1, "u", None), (2, "u", ""), (7, "u", "x" * 200_000), (None, None, "y" * 100), (None, None, "y" * 100),
+        (8, "http://d/", "short"), (0, "t", "z" * 120), (0, "t", "w" * 150), (6, "t", "z" * 120), (6, "t", "w" * 150), (1, "u", None), (2, "u", ""), (7, "u", "x" * 200_000), (None, None, "y" * 100), (None, None, "y" * 100),
     ]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
     records, quarantine = warc.read_warc(warc.write_warc(pages))
@@ -178,6 +179,24 @@ def test_odd_pages(spark):
     assert quarantine.count() == 0
 
 
+@pytest.mark.parametrize("claimed", [True, False])
+def test_revisits_of_one_identifier_with_two_payloads(spark, claimed):
+    """Each takes length and digest of the payload that it repeats; without a digest of its own it takes none."""
+    a, b = b"a" * 200, b"b" * 150
+    parts = [warc.record(1, "u", p, hashlib.sha256(p).hexdigest(), None, False) for p in (a, b)]
+    parts += [warc.record(k, "u", p, hashlib.sha256(p).hexdigest(), 1, True) for k, p in ((2, a), (3, b))]
+    if not claimed:
+        parts[2:] = [re.sub(rb"WARC-Payload-Digest: [^\r]*\r\n", b"", p) for p in parts[2:]]
+    uri = f"{fresh_dir(spark, 'two')}/two.warc.gz"
+    put_bytes(uri, b"".join(map(warc.member, parts)))
+    records, quarantine = warc.read_warc(spark.createDataFrame([(uri,)], "path string"))
+    found = {warc_id: (n, d) for warc_id, n, d in records.where("record_type = 'revisit'").select("record_id", "payload_bytes", "payload_digest").collect()}
+    want = {2: a, 3: b}
+    none = (None, None)
+    assert found == {warc.record_id(k): (len(p), hashlib.sha256(p).hexdigest()) if claimed else none for k, p in want.items()}
+    assert quarantine.count() == 0
+
+
 def test_very_long_urls(spark):
     urls = {1: "data:text/html," + "x" * 2_000_000, 2: "http://a/" + "\n" * 700_000, 3: "http://b/"}
     pages = spark.createDataFrame([(k, u, "short") for k, u in urls.items()], "page_id long, url string, html string")
