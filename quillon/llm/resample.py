@@ -3,20 +3,26 @@
 Words and pairs of neighbouring words are hashed to buckets.  A generative
 model of target text (documents labelled as good) and one of raw text (all
 documents) give each bucket a probability; a document's log weight is the sum of
-log ratios of its n-grams, scaled down to ``CHUNK`` n-grams for longer texts so
-that length alone decides nothing.  Gumbel noise is added to the log weights and
-the documents with the k highest sums stay: a sample without replacement in
-proportion to the weights.
+log ratios of all its n-grams.  Gumbel noise is added to the log weights and the
+documents with the k highest sums stay: a sample without replacement in
+proportion to the importance weights.
+
+``temper`` asks for another weighting: sums of texts with more n-grams than that
+are scaled down to that many, so that length decides less.  The sample is then in
+proportion to the tempered weights, not to the importance ratio.  It is off
+unless it is asked for.
 
 Counting is one pass that hands over one vector of buckets for each task;
 scoring is a second pass without a shuffle.  The k-th highest sum is found by
 counting digits of the sums, most significant first, so that nothing is sorted
 and no task sees more than one digit's counts.
 
-Defined results: null and empty texts have no n-grams and log weight 0; without
-a document of the target all log weights are 0; noise depends on doc_id and
-seed alone, so repeated rows have equal sums and rows that tie with the k-th all
-stay; null labels are no labels; other columns are ignored.
+Defined results: null and empty texts have no n-grams and log weight 0; texts of
+any length count whole; without a document of the target all log weights are 0;
+noise depends on doc_id (null is a value like others) and seed alone, so repeated
+rows have equal sums and rows that tie with the k-th all stay; null labels are no
+labels; a doc_id that any label calls good is good; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +41,6 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bounded, fresh_dir, get_bytes, per_text, put_bytes, slices, table, utf8, written
 
 BUCKETS = 10_000
-#: N-grams that a long text counts for.
-CHUNK = 100
 SMOOTHING = 0.5
 SEED = 20240101
 #: Words whose hashes a task keeps.
@@ -129,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarra
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def log_weights(docs: DataFrame, ratios: np.ndarray, temper: int | None = None) -> DataFrame:
     """(doc_id, n_grams, log_weight) of every document."""
     uri = f"{fresh_dir(docs.sparkSession, 'ratios')}/ratios.pickle"
     put_bytes(uri, pickle.dumps(ratios))
@@ -141,9 +145,11 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             own[uri] = NGrams(len(held)), held
         grams, held = own[uri]
         found, sizes = grams.of(texts)
-        sums = np.concatenate(([0.0], np.cumsum(held[found])))
-        stops = np.cumsum(sizes)
-        return sizes, (sums[stops] - sums[stops - sizes]) * np.minimum(1, CHUNK / np.maximum(sizes, 1))
+        # Each text's own sum: equal texts have equal bits, whatever stands beside them.
+        sums, full = np.zeros(len(sizes)), np.flatnonzero(sizes)
+        if len(full):
+            sums[full] = np.add.reduceat(held[found], (np.cumsum(sizes) - sizes)[full])
+        return sizes, sums if temper is None else sums * np.minimum(1, temper / np.maximum(sizes, 1))
 
     return per_text(docs, "n_grams long, log_weight double", make)
 
@@ -177,16 +183,16 @@ def kth_highest(values: DataFrame, column: str, k: int) -> int | None:
     return base
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, temper: int | None = None) -> DataFrame:
     """(doc_id, n_grams, log_weight, perturbed, kept) of every document.
 
     ``share`` of the rows stays; None takes the share of quality 1 among the
-    labels.
+    labels.  ``temper`` is described above; None takes the weights as they are.
     """
     if share is None:
         known = labels.where("quality IN (0, 1)").agg(F.avg("quality")).first()[0]
         share = 1.0 if known is None else float(known)
-    scored = log_weights(docs, fit(docs, labels))
+    scored = log_weights(docs, fit(docs, labels), temper)
     perturbed = F.round(F.col("log_weight") + gumbel(F.col("doc_id"), seed), DECIMALS)
     scored = written(scored.withColumn("perturbed", perturbed).withColumn("rank_key", F.round(F.col("perturbed") * 10**DECIMALS).cast("long")), "weights")
     least = kth_highest(scored, "rank_key", round(share * scored.count()))
@@ -194,9 +200,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     return scored.select("doc_id", "n_grams", "log_weight", "perturbed", kept.alias("kept"))
 
 
-def select(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, temper: int | None = None) -> DataFrame:
     """The documents that stay, with all their columns; a doc_id that repeats stays or goes as a whole."""
-    stay = resample(docs, labels, share, seed).where("kept").select(F.col("doc_id").alias("__quillon_id")).distinct()
+    stay = resample(docs, labels, share, seed, temper).where("kept").select(F.col("doc_id").alias("__quillon_id")).distinct()
     stay = bounded(written(stay, "stay"), ENTRY_BYTES)
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__quillon_id"]), "left_semi")
 

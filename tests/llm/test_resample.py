@@ -43,22 +43,33 @@ def test_weights_and_choice_on_all_documents(spark, sf_dir):
     assert len(rows) == len(texts)
     for r in rows:
         found = texts[r["doc_id"]]
-        weight = sum(ratio[k] for k in found) * min(1, resample.CHUNK / max(1, len(found)))
+        weight = sum(ratio[k] for k in found)
         assert r["n_grams"] == len(found) and r["log_weight"] == pytest.approx(weight, abs=1e-6)
     share = sum(q == 1 for q in quality.values()) / len(quality)
     best = sorted((r["perturbed"] for r in rows), reverse=True)[: round(share * len(rows))]
     assert {r["doc_id"] for r in rows if r["kept"]} == {r["doc_id"] for r in rows if r["perturbed"] >= best[-1]}
 
 
-def test_junk_goes_and_clean_text_stays(spark):
+@pytest.mark.parametrize("temper", [None, 100])
+def test_junk_goes_and_clean_text_stays(spark, temper):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     labels = table(spark, "/root/testdata/sf0.01", "labels")
-    fitted = resample.resample(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    fitted = resample.resample(docs, labels.where("doc_id % 2 = 0"), temper=temper).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     clean = [r["kept"] for r in fitted if r["quality"] == 1]
     junk = [r["kept"] for r in fitted if r["quality"] == 0]
+    print(f"temper {temper}: of held-out labels {np.mean(clean):.3f} of the clean and {np.mean(junk):.3f} of the junk documents stay")
     assert np.mean(clean) > 0.9 and np.mean(junk) < 0.3
 
 
+def test_equal_texts_have_equal_weights_wherever_they_stand(spark):
+    text = "some words, and some more of them " * 3
+    rows = [(k, text if k % 3 == 0 else f"other {k} " * (k % 17)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ratios = np.random.default_rng(0).normal(size=resample.BUCKETS)
+    found = {r["log_weight"] for r in resample.log_weights(docs, ratios).where("doc_id % 3 = 0").collect()}
+    assert len(found) == 1
+
+
 @pytest.mark.parametrize("k", [-1, 0, 1, 2, 7, 499, 500, 501])
 def test_kth_highest(spark, k):
     rng = np.random.default_rng(k + 1)
