@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import bitplanes, exact_dedup, simhash
+from quillon.llm import bitplanes, common, exact_dedup, simhash
 from quillon.llm.common import table
 from quillon.llm.components import components
 
@@ -43,7 +43,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda body: F.substring(F.sha2(body, 256), 1, 1), lambda body: F.lit("same")])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda body: F.substring(F.sha2(body, 256), 1, 1), lambda body: F.lit("same")])
 def test_exact_duplicates_whatever_the_digest(spark, digest):
     docs = spark.createDataFrame([(*r, "x", "y") for r in ODD], SCHEMA)
     found = exact_dedup.exact_duplicates(docs, digest).join(
@@ -67,6 +67,68 @@ def test_drop_duplicates_keeps_whole_rows(spark):
     assert exact_dedup.drop_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(params=[None, 0], ids=["broadcast", "shuffle"])
+def broadcast_limit(request, monkeypatch, spark):
+    """The side of every size check: tables within the limit, and all tables beyond it."""
+    if request.param is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", request.param)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exact_duplicates_on_both_sides_of_the_broadcast_bound(spark, broadcast_limit):
+    docs = spark.createDataFrame([(*r, "x", "y") for r in ODD], SCHEMA)
+    got = exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r[:4] for r in brute_exact(ODD)), key=repr)
+    kept = exact_dedup.drop_duplicates(docs).collect()
+    assert sorted((r["doc_id"] for r in kept), key=repr) == sorted((r[0] for r in brute_exact(ODD) if r[3]), key=repr)
+
+
+def test_near_duplicates_on_both_sides_of_the_broadcast_bound(spark, broadcast_limit):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_components([(i, brute_fingerprint(t)) for i, t in rows]), strict=True))
+
+
+def test_merge_index_levels_and_filters(spark):
+    index = exact_dedup.MergeIndex.of(spark, 4000)
+    want: dict[bytes, list[int]] = {}
+    for flush, low in enumerate((0, 900, 1800, 2000, 5000)):
+        ids = range(low, low + 1000)
+        rows = [(hashlib.sha256(str(i).encode()).digest(), 10_000 * flush + i) for i in ids]
+        entries = spark.createDataFrame([(d, i, i) for d, i in rows], "digest binary, doc_id long, seq long")
+        hits = {bytes(r["digest"]) for r in index.add(entries).collect()}
+        assert hits == {d for d, _ in rows if d in want}
+        for d, i in rows:
+            want.setdefault(d, []).append(i)
+    # Four flushes were merged in pairs, and the pairs again; one waits in the first level.
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    assert index.levels[2][0].rows == 3000 and index.levels[0][0].rows == 1000
+    # Of the digests that a run doesn't hold, its filter lets few pass.
+    asked, passed = (sum(p) for p in zip(*index.probes, strict=True))
+    assert asked == 1000 * 5 and 1000 <= passed <= 1000 + 0.03 * asked
+    some = spark.createDataFrame([(d,) for d in list(want)[::7]], "digest binary")
+    found = {bytes(r["digest"]): (r["first"]["id"], r["entries"]) for r in index.lookup(some).collect()}
+    assert found == {d: (min(want[d]), len(want[d])) for d in list(want)[::7]}
+    level = index.compact()
+    assert {bytes(r["digest"]): (r["first"]["id"], r["entries"]) for r in level.collect()} == {d: (min(i), len(i)) for d, i in want.items()}
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    index = exact_dedup.MergeIndex.of(spark, 100)
+    entries = spark.range(100).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("seq"))
+    index.add(entries)
+    index.add(entries)
+    old = index.levels[1][0]
+    assert old.rows == 100
+    merged = index.merged(old, old)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert merged.count() == 100 and merged.agg(F.sum("entries")).first()[0] == 400
+
+
 def brute_fingerprint(text: str | None) -> int:
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
