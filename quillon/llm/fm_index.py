@@ -7,13 +7,17 @@ searched backwards by wavelet ranks, all at once; occurrences are located by
 walking to the next sampled position; the spans that they cover are merged.
 
 There is no shuffle: a document's result needs its own shard and the phrases.
-Phrases are written in slices of bounded size to the shared folder and each
-task streams them, so that neither a broadcast nor the driver grows with the
-benchmark.
+Executors cut the benchmark into slices of bounded size (a phrase that very many
+items share goes to several slices, a very long item too) and write them to the
+shared folder; tasks stream them.  The driver holds the paths of the slices only,
+and nothing that grows with the benchmark is broadcast.
 
 Defined results: a null or wordless document has no words, no hits and no
 items; a null or wordless item has no windows; equal items all count; a null
-item_id is an item named by the empty string; rows are returned once each.
+item_id is an item named by the empty string; texts and items of any length are
+read whole; rows are returned once each, repeated ones too; other columns,
+whatever their names, are ignored (and pass ``decontaminate`` untouched); an empty
+table of documents gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, tidied, utf8
 from quillon.llm.wavelet import BitVector, WaveletMatrix
@@ -35,8 +42,8 @@ WINDOW = 8
 MIN_ITEMS = 2
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 300_000
-#: Phrases of a slice.
-SLICE_PHRASES = 200_000
+#: Pairs of a phrase and an item in a slice.
+SLICE_PAIRS = 200_000
 #: Distance of sampled text positions within a document.
 SAMPLE = 8
 #: Occurrences located at once.
@@ -153,31 +160,59 @@ class FMIndex:
         return out
 
 
-def _windows(item: list[bytes]) -> list[tuple[bytes, ...]]:
-    return [tuple(item[k : k + WINDOW]) for k in range(max(1, len(item) - WINDOW + 1))] if item else []
+@dataclass
+class Phrases:
+    """A slice: phrases of each length as rows of numbers of its own words, and the names of the items that hold them."""
+
+    words: list[bytes]
+    groups: list[tuple[np.ndarray, list[list[str]]]]
+
+
+def _windows(item: list[bytes]) -> Iterator[tuple[bytes, ...]]:
+    if item:
+        for k in range(max(1, len(item) - WINDOW + 1)):
+            yield tuple(item[k : k + WINDOW])
+
+
+def _packed(phrases: dict[tuple[bytes, ...], set[str]]) -> Phrases:
+    codes, by_length = _Codes(), defaultdict(list)
+    for phrase, items in phrases.items():
+        by_length[len(phrase)].append(([codes[w] for w in phrase], sorted(items)))
+    return Phrases(list(codes), [(np.array([p for p, _ in group], dtype=np.int64) - 1, [i for _, i in group]) for group in by_length.values()])
 
 
 def write_phrases(benchmark: DataFrame) -> list[str]:
-    """Slices of {phrase: item ids} in the shared folder; the driver holds one slice at a time."""
-    root, paths = fresh_dir(benchmark.sparkSession, "phrases"), []
-    phrases: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-
-    def flush() -> None:
-        paths.append(f"{root}/{len(paths)}.pickle")
-        put_bytes(paths[-1], pickle.dumps(dict(phrases)))
-        phrases.clear()
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        for phrase in _windows(words(row["text"])):
-            phrases[phrase].add("" if row["item_id"] is None else str(row["item_id"]))
-        if len(phrases) >= SLICE_PHRASES:
-            flush()
-    if phrases:
-        flush()
-    return paths
-
-
-def hits(docs: list[list[bytes]], slices: Iterator[dict]) -> list[tuple[np.ndarray, set[str]]]:
+    """Slices of phrases in the shared folder, cut by executors; their paths."""
+    root = fresh_dir(benchmark.sparkSession, "phrases")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        pairs = 0
+
+        def flush() -> pa.RecordBatch:
+            # A name of its own for each attempt: the driver reads those of the attempts that count.
+            path = f"{root}/{uuid.uuid4().hex}.pickle"
+            put_bytes(path, pickle.dumps(_packed(phrases)))
+            phrases.clear()
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
+        for part in (p for batch in batches for p in slices(batch)):
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for phrase in _windows(words(text)):
+                    items = phrases[phrase]
+                    pairs += name not in items
+                    items.add(name)
+                    if pairs >= SLICE_PAIRS:
+                        yield flush()
+                        pairs = 0
+        if phrases:
+            yield flush()
+
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")
+    return sorted(r["path"] for r in benchmark.select(name, "text").mapInArrow(run, "path string").collect())
+
+
+def hits(docs: list[list[bytes]], slices: Iterator[Phrases]) -> list[tuple[np.ndarray, set[str]]]:
     """For each document of a shard: mask of hit words, and items with occurring windows."""
     codes = _Codes()
     arrays = [np.fromiter(map(codes.__getitem__, d), dtype=np.uint32, count=len(d)) for d in docs]
@@ -187,12 +222,15 @@ def hits(docs: list[list[bytes]], slices: Iterator[dict]) -> list[tuple[np.ndarr
     index = FMIndex(arrays, len(codes))
     cover = np.zeros(index.n + 1, dtype=np.int64)
     for phrases in slices:
-        by_length: dict[int, list] = defaultdict(list)
-        for phrase, items in phrases.items():
-            if all(w in codes for w in phrase):
-                by_length[len(phrase)].append(([codes[w] for w in phrase], items))
-        for length, group in by_length.items():
-            low, high = index.search(np.array([g[0] for g in group], dtype=np.int64))
+        # The slice's words in the shard's symbols; phrases with a word that the shard lacks can't occur.
+        symbols = np.fromiter((codes.get(w, 0) for w in phrases.words), dtype=np.int64, count=len(phrases.words))
+        for rows_of, items in phrases.groups:
+            group = symbols[rows_of]
+            known = np.flatnonzero((group > 0).all(axis=1))
+            if not len(known):
+                continue
+            group, length = group[known], group.shape[1]
+            low, high = index.search(group)
             number = high - low
             which = np.repeat(np.arange(len(group)), number)
             rows = np.repeat(low, number) + np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
@@ -203,7 +241,7 @@ def hits(docs: list[list[bytes]], slices: Iterator[dict]) -> list[tuple[np.ndarr
                 owner = np.searchsorted(index.starts, places, side="right") - 1
                 pairs = np.unique(owner * len(group) + which[at : at + LOCATE_ROWS])
                 for doc, g in zip((pairs // len(group)).tolist(), (pairs % len(group)).tolist(), strict=True):
-                    found[doc] |= group[g][1]
+                    found[doc].update(items[known[g]])
     hit = np.cumsum(cover[:-1]) > 0
     return [(hit[s : s + len(d)], f) for s, d, f in zip(index.starts, docs, found, strict=True)]
 

@@ -61,7 +61,7 @@ def odd(spark) -> tuple:
 
 
 def test_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(fm_index, "SLICE_PHRASES", 7)
+    monkeypatch.setattr(fm_index, "SLICE_PAIRS", 7)
     docs, items, frame, bench = odd(spark)
     rows = fm_index.contamination(frame, bench).collect()
     got = sorted(
