@@ -18,7 +18,10 @@ for each task and cached up to a bound.
 
 Defined results: null and empty texts have no pieces, only the end id; the
 text's length does not matter, chunks are joined as they come (a chunk itself
-is linear in its length).  Other columns are ignored.
+is linear in its length); null ids decode to an empty text; doc_ids of any type,
+null ones too, pass as they are, and repeated rows are returned as often as they
+occur.  Other columns, whatever their names, are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import per_text, table, utf8
@@ -245,24 +246,19 @@ def codec(path: str | None = None) -> PieceCodec:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every document, end id included."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [own.encode(t) for t in batch["text"]]})
+    def make(texts: list[str | None]) -> tuple[list[list[int]]]:
+        return ([codec(path).encode(t) for t in texts],)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return per_text(docs, "ids array<int>", make)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for batch in batches:
-            texts = [own.decode([] if i is None else [int(x) for x in i]) for i in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+    def make(rows: list[list[int] | None]) -> tuple[list[str]]:
+        return ([codec(path).decode(i or []) for i in rows],)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return per_text(encoded, "text string", make, text="ids")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
