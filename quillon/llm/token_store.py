@@ -13,13 +13,15 @@ zstd-compressed where that makes them smaller.  Sections: ``alphabet`` (uint32),
 block of 512 bits, uint32), ``doc_ids`` (int64), ``missing`` (null doc_ids) and
 ``lengths`` (uint32).
 
-Writing sorts documents by range partitioning; a task rolls its files at a
-bounded number of tokens and knows its files' places within its partition, so
-that the driver adds up one number for each partition.
+Writing sorts documents by range partitioning on doc_id, the text's hash and the
+row's place, so that the rows of one identifier can fill many partitions; a task
+rolls its files at a bounded number of tokens and knows its files' places within
+its partition, so that the driver adds up one number for each partition.
 
 Defined results: null and empty texts have the end id only; null doc_ids come
-first; repeated doc_ids are ordered by text and keep one row each; a text of any
-length stays in one file.
+first; repeated doc_ids keep one row each, equal texts side by side; a text of any
+length stays in one file; other columns, whatever their names, are ignored; an
+empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, utf8, written
+from quillon.llm.common import fresh_dir, get_bytes, put_bytes, slices, table, tasks_for, utf8, written
 from quillon.llm.wavelet import BitVector, WaveletMatrix
 
 MAGIC = b"QWMX0001"
@@ -285,7 +287,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
     """
     spark = docs.sparkSession
     root = root or fresh_dir(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks_for(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_encoder(path), TaskContext.get().partitionId()
@@ -312,7 +314,10 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
         if kept:
             yield flush()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts and places split the rows of one identifier, however many, over several tasks.
+    order = ["doc_id", "hash", "place"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(run, "part int, file int, start long, tokens long, path string"), "manifest")
 
 
@@ -337,7 +342,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     {"doc_id": pd.array(names, dtype="Int64"), "start": start + stops - lengths, "n_tokens": lengths, "ids_crc32": crcs}
                 )
 
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(totals))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return files.repartition(tasks, "path").mapInPandas(run, schema)
 

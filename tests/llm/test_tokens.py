@@ -10,12 +10,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillon.llm import piece_codec, token_store
-from quillon.llm.common import table
+from quillon.llm.common import get_bytes, table
 
 ODD = [None, "", " ", "  a", "a  ", "\n\t\r x", "▁a ▁", "日本語 テスト 😀👍", "​﻿", "a" * 5000, "é" * 3000, "x y " * 20_000, "\x00\x01", "<s></s><unk>", "İß"]
 ALPHABET = st.text(st.sampled_from(list("abcdehlorstTHE .,\n\té▁日😀0129-  ")), max_size=60)
@@ -73,9 +74,37 @@ def test_encode_and_decode_frames(spark, library):
     assert piece_codec.digests(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [2**60 + 1, None, 3, 3]), ("string", ["a", None, "b", "b"]), ("decimal(20,0)", [None] * 4)])
+def test_identifiers_of_any_kind_pass_untouched(spark, library, kind, ids):
+    texts = ["some words", None, "", "x y"]
+    docs = spark.createDataFrame(list(zip(ids, texts, texts, [1] * 4, strict=True)), f"doc_id {kind}, text string, ids string, n_tokens int")
+    encoded = piece_codec.encode(docs)
+    want_rows = sorted(((i, library.encode(t or "", add_eos=True)) for i, t in zip(ids, texts, strict=True)), key=repr)
+    assert sorted(((r["doc_id"], list(r["ids"])) for r in encoded.collect()), key=repr) == want_rows
+    back = piece_codec.decode(encoded).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in back), key=repr) == sorted(((i, t or "") for i, t in zip(ids, texts, strict=True)), key=repr)
+    nulls = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert piece_codec.decode(nulls).first()["text"] == ""
+    assert piece_codec.digests(docs).count() == 4
+
+
+def test_one_identifier_for_a_third_of_all_rows_fills_several_partitions(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 3 = 0, 'same words here', concat('words of ', id)) AS text")
+    manifest = token_store.write_tokens(docs)
+    files = [token_store.TokenFile(get_bytes(r["path"])).documents()[0] for r in manifest.collect()]
+    assert max(f.count(7) for f in files) < 700 and sum(f.count(7) for f in files) == 1001
+    rows = token_store.read_tokens(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in docs.collect())
+
+
+def text_hash(text: str | None) -> int:
+    """Spark's xxhash64, by which the texts of one identifier are ordered."""
+    return 42 if text is None else int.from_bytes(xxhash.xxh64_digest(text.encode(), 42), "big", signed=True)
+
+
 def brute_store(rows: list[tuple]) -> list[tuple]:
     tokenizer, out, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]))):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
