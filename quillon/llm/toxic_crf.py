@@ -12,13 +12,17 @@ Forward-backward marginals of whole texts are aggregated to a document's score
 by a small logistic model; words with high marginals give the offending offsets.
 The aggregation is fitted on marginals of chains that have not seen the document.
 
-Training uses at most ``TRAIN_DOCS`` documents of each label, those with the
-smallest hash of doc_id, and at most ``TRAIN_WINDOWS`` windows of them; scoring
-reads every document whole.
+Training uses at most ``TRAIN_DOCS`` rows of each label, those with the smallest
+hash of doc_id and, within one doc_id, of the text; equal rows count once.  All
+windows of these rows train; gradients are summed over blocks of windows, so that
+memory holds one block besides the words.  Scoring reads every document whole.
 
 Defined results: null, empty and wordless texts get the aggregation's score of
-no evidence; without training rows of both labels every score is 0; rows with a
-null label don't train; repeated rows are scored each by itself.
+no evidence; texts of any length are scored whole; without training rows of both
+labels every score is 0; rows with a null label or doc_id don't train; a doc_id
+with both labels counts as toxic; repeated rows are scored each by itself; other
+columns, whatever their names, are no input of a score and pass ``drop_toxic``
+untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +44,9 @@ from quillon.llm.common import fresh_dir, get_bytes, per_text, put_bytes, slices
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS = 3000
-TRAIN_WINDOWS = 16_000
 WINDOW = 48
+#: Windows of a block of the gradient.
+BLOCK_WINDOWS = 8000
 #: Hash space of features.
 HASH = 1 << 17
 #: Induced labels: standard deviations below the log odds, what must remain, documents at least.
@@ -240,7 +245,7 @@ def induced_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]
 
 
 def _windows(docs: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Windows with marked words first, then windows of documents that aren't toxic, spread evenly."""
+    """Windows with marked words first, then all windows of documents that aren't toxic."""
     marked, clean = [], []
     for words, y, bad in zip(docs, labels, toxic.tolist(), strict=True):
         for at in range(0, len(words), WINDOW):
@@ -249,59 +254,70 @@ def _windows(docs: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray)
                 marked.append(pair)
             elif not bad:  # what isn't marked in a toxic document may still be toxic
                 clean.append(pair)
-    marked = marked[:: max(1, -(-len(marked) // (TRAIN_WINDOWS // 2)))]
-    clean = clean[:: max(1, -(-len(clean) // (TRAIN_WINDOWS // 2)))]
     kept = marked + clean
     return [k[0] for k in kept], [k[1] for k in kept]
 
 
 def train_chain(windows: list[list[str]], labels: list[np.ndarray]) -> Chain:
-    """Adagrad on the conditional log likelihood of all windows."""
+    """Adagrad on the conditional log likelihood of all windows, whose gradient is summed block by block."""
     chain = Chain(np.zeros((3, HASH)), np.zeros((2, 2)), 0.0)
     numbers: dict[str, int] = {}
-    words = np.array([numbers.setdefault(w, len(numbers)) for ws in windows for w in ws], dtype=np.int64)
-    y = np.concatenate(labels).astype(float) if labels else np.zeros(0)
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in windows for w in ws), dtype=np.int32, count=sum(map(len, windows)))
+    marks = np.concatenate(labels) if labels else np.zeros(0, dtype=bool)
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
     if not len(words):
         return chain
     rows = [_hashed(w) for w in numbers]
     sizes = np.array([len(r) for r in rows])
     at, edge = np.concatenate(rows), np.cumsum(sizes) - sizes
-    first = np.zeros(len(words), dtype=bool)
-    first[np.cumsum(lengths) - lengths] = True
-    inner = ~first[1:]
     squares, moved, started = np.full((3, HASH), 1e-8), np.full((2, 2), 1e-8), 1e-8
-    count = len(numbers)
+    stops = np.cumsum(lengths)
     for _ in range(ROUNDS):
         sums = np.array([np.add.reduceat(chain.weights[k][at], edge) for k in range(3)])
-        odds = _emissions(sums, words, lengths)
-        forward, backward, p = forward_backward(odds, lengths, chain)
-        wrong = y - p
-        parts = (
-            np.bincount(words, wrong, count),
-            np.bincount(words[:-1][inner], wrong[1:][inner], count),
-            np.bincount(words[1:][inner], wrong[:-1][inner], count),
-        )
-        for k, per_word in enumerate(parts):
-            step = np.bincount(at, np.repeat(per_word, sizes), HASH) / len(windows) - DECAY * chain.weights[k]
+        per_word, pairs, begin = np.zeros((3, len(numbers))), np.zeros(4), 0.0
+        for low in range(0, len(windows), BLOCK_WINDOWS):
+            own = lengths[low : low + BLOCK_WINDOWS]
+            part = slice(int(stops[low] - lengths[low]), int(stops[low + len(own) - 1]))
+            found = _gradient(sums, words[part], marks[part].astype(float), own, chain)
+            per_word, pairs, begin = per_word + found[0], pairs + found[1], begin + found[2]
+        for k in range(3):
+            step = np.bincount(at, np.repeat(per_word[k], sizes), HASH) / len(windows) - DECAY * chain.weights[k]
             squares[k] += step**2
             chain.weights[k] += RATE * step / np.sqrt(squares[k])
-        # Pair marginals of neighbours, in log space.
-        a0, a1 = -np.logaddexp(0, forward[:-1]), -np.logaddexp(0, -forward[:-1])
-        b = odds[1:] + backward[1:]
-        t = chain.transition
-        joint = np.stack([a0 + t[0, 0], a0 + t[0, 1] + b, a1 + t[1, 0], a1 + t[1, 1] + b])[:, inner]
-        joint = np.exp(joint - np.logaddexp.reduce(joint, axis=0))
-        pair = (y[:-1] * 2 + y[1:])[inner].astype(int)
-        step = ((np.bincount(pair, minlength=4) - joint.sum(axis=1)) / len(windows)).reshape(2, 2)
+        step = pairs.reshape(2, 2) / len(windows)
         moved += step**2
         chain.transition = chain.transition + RATE * step / np.sqrt(moved)
-        begin = float(wrong[first].sum() / len(windows))
+        begin /= len(windows)
         started += begin**2
         chain.start += RATE * begin / np.sqrt(started)
     return chain
 
 
+def _gradient(sums: np.ndarray, words: np.ndarray, y: np.ndarray, lengths: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradient of a block's log likelihood: by word as itself, word before and word behind; by transition; of the start."""
+    first = np.zeros(len(words), dtype=bool)
+    first[np.cumsum(lengths) - lengths] = True
+    inner = ~first[1:]
+    odds = _emissions(sums, words, lengths)
+    forward, backward, p = forward_backward(odds, lengths, chain)
+    wrong, count = y - p, sums.shape[1]
+    per_word = np.array(
+        [
+            np.bincount(words, wrong, count),
+            np.bincount(words[:-1][inner], wrong[1:][inner], count),
+            np.bincount(words[1:][inner], wrong[:-1][inner], count),
+        ]
+    )
+    # Pair marginals of neighbours, in log space.
+    a0, a1 = -np.logaddexp(0, forward[:-1]), -np.logaddexp(0, -forward[:-1])
+    b = odds[1:] + backward[1:]
+    t = chain.transition
+    joint = np.stack([a0 + t[0, 0], a0 + t[0, 1] + b, a1 + t[1, 0], a1 + t[1, 1] + b])[:, inner]
+    joint = np.exp(joint - np.logaddexp.reduce(joint, axis=0))
+    pair = (y[:-1] * 2 + y[1:])[inner].astype(int)
+    return per_word, np.bincount(pair, minlength=4) - joint.sum(axis=1), float(wrong[first].sum())
+
+
 def _evidence_of(docs: list[list[str]], chain: Chain) -> np.ndarray:
     words = Words(chain)
     arrays = [np.fromiter(map(words.numbers.__getitem__, d), dtype=np.int32, count=len(d)) for d in docs]
@@ -404,15 +420,25 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Train on the documented bounded sample of labelled rows outside the held-out fold."""
+    """Train on the documented bounded sample of labelled rows outside the held-out fold.
+
+    Rows, not identifiers, are chosen: however often a labelled doc_id repeats,
+    the driver gets ``TRAIN_DOCS`` texts of each label at most.
+    """
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").distinct().where(fold(F.col("doc_id")) != HELD_OUT)  # texts stay where they are
     known = written(ids.join(known, "doc_id"), "labelled")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [known.where(F.col("toxic") == mark).orderBy(*order).limit(TRAIN_DOCS) for mark in (0, 1)]
-    sample = written(parts[0].unionByName(parts[1]), "sample")  # 2 * TRAIN_DOCS rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r["toxic"], str(r["doc_id"]), r["text"] or ""))
+    sample = written(parts[0].unionByName(parts[1]), "sample")  # 2 * TRAIN_DOCS identifiers at most
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("digest")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marked = found.select("doc_id", "toxic", digest).distinct()
+    marked = [marked.where(F.col("toxic") == mark).orderBy(*order, "digest").limit(TRAIN_DOCS) for mark in (0, 1)]
+    chosen = written(marked[0].unionByName(marked[1]), "rows")  # 2 * TRAIN_DOCS rows at most
+    rows = found.select("doc_id", "text", digest).join(F.broadcast(chosen), ["doc_id", "digest"])
+    rows = rows.groupBy("doc_id", "toxic", "digest").agg(F.first("text").alias("text"))
+    rows = sorted(rows.drop("digest").collect(), key=lambda r: (r["toxic"], str(r["doc_id"]), r["text"] or ""))
     texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
     del rows
     return train(texts, np.array(marks, dtype=int))
