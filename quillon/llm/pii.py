@@ -3,33 +3,43 @@
 Base: e-mail addresses, IP addresses, card and phone numbers by fixed patterns
 and checks; the leftmost non-overlapping matches of each kind, in code points.
 
-Bootstrapping: base matches are seeds.  The words around a seed make lexical
-patterns (two words before; one before and one behind; a label before).  Under
-the same patterns stand candidates, which look like identifiers but are no base
-match.  Patterns and instances (normalised values) form a graph that Spark scores
-in rounds: a pattern is as good as the share of its distinct instances that are
-of one kind, a candidate as the patterns that it stands under.  Candidates under
-patterns of high confidence and support join the result; base spans stay.
+Bootstrapping: base matches are seeds, and long hexadecimal strings are seeds of a
+fifth kind, secrets.  The words around a seed make lexical patterns (two words
+before; one before and one behind; a label before).  Under the same patterns stand
+candidates, which look like identifiers but are no base match.  Patterns and
+instances (normalised values) form a graph that Spark scores in rounds: a pattern is
+as good as the share of its distinct instances that are known to be of one kind, a
+candidate as the doubt that all patterns around it leave.  Candidates whose score
+reaches ``CONFIDENCE`` become seeds of the next round, in all contexts they have, so
+that patterns without a single base match are induced from what was found.  Rounds
+end when none is new.  Mentions of the candidates that were found join the result
+where they stand under a pattern of at least ``DOUBTFUL``; so do seeds of secrets.
+Base spans stay.
 
 Regular expressions are possessive and start only where a match can start, so
 that no text, however long, makes them recurse or run in squared time.  Texts are
 read once; what is found goes to the shared folder, and joins see mentions only.
 Graph sides are aggregated before they are joined.  All of it is DataFrame code.
 
-Defined results: a null text is empty; equal values count once as instances,
-however often copied; a null doc_id is kept; rows are returned once each; other
-columns are ignored.  Counts are of base matches.  Added spans never overlap
-base spans; of overlapping additions the first stays.
+Defined results: a null text is empty; texts of any length are read whole; equal
+values count once as instances, however often copied; a null doc_id is kept; rows
+are returned once each, repeated ones too; other columns, whatever their names, are
+ignored; an empty table gives an empty result.  Counts are of base matches.  Added
+spans overlap neither base spans nor each other; of kinds with equal scores the
+last by name is taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans: the base ones and what bootstrapping alone finds.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: Possessive forms of the base patterns with the same matches.
 BASE = {
@@ -46,14 +56,19 @@ MENTION = "|".join(
         BASE["email"],
         rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9][A-Za-z0-9.-]*+",
         BASE["phone"],
-        r"(?<![A-Za-z0-9])\(?[0-9](?:[\x20().-]{0,2}+[0-9])++(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])\(?[0-9](?:[\x20().-]{0,2}+[0-9])++(?![A-Za-z0-9_]|-[A-Za-z0-9])",
+        # A long token of letters and digits.
+        r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
     ]
 )
+#: What a seed of a secret looks like: hexadecimal digits of 128 bits at least, letters and digits among them.
+SECRET = r"(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+"
 #: Code points of context that are looked at on each side.
 CONTEXT = 48
-ROUNDS = 3
-#: Distinct instances that a pattern needs, and the confidence at which it extracts.
-SUPPORT, CONFIDENCE = 5, 0.8
+#: Rounds at most; they end earlier when nothing new is found.
+ROUNDS = 8
+#: Distinct known instances that a pattern needs, the score at which a candidate becomes known, the least rating of a pattern that counts.
+SUPPORT, CONFIDENCE, DOUBTFUL = 5, 0.8, 0.5
 ENTRY_BYTES = 256
 BLOCK = 256
 
@@ -141,9 +156,11 @@ def mention_rows(found: DataFrame) -> DataFrame:
     rows = found.where("size(mentions) > 0").select("seq", F.explode(F.expr(placed)).alias("m")).select("seq", "m.*")
     digits = _DIGITS.format(v="value")
     whole = {k: f"value RLIKE '^(?:{_escaped(BASE[k])})$' AND {_valid(k, 'value')}" for k in KINDS}
-    seed = "CASE " + " ".join(f"WHEN {whole[k]} THEN '{k}'" for k in ("email", "ip", "phone", "card")) + " END"
+    whole["secret"] = f"value RLIKE '^{_escaped(SECRET)}$'"
+    seed = "CASE " + " ".join(f"WHEN {whole[k]} THEN '{k}'" for k in ("email", "ip", "phone", "card", "secret")) + " END"
+    mail = "contains(value, '@') OR value RLIKE '[(\\\\[](at|AT)[)\\\\]]'"
     shapes = (
-        "CASE WHEN value RLIKE '[A-Za-z@]' THEN array('email') ELSE filter(array("
+        f"CASE WHEN {mail} THEN array('email') WHEN value RLIKE '[A-Za-z]' THEN array('secret') ELSE filter(array("
         f"CASE WHEN value RLIKE '^[0-9]+(\\\\.[0-9]+){{2,5}}$' THEN 'ip' END, "
         f"CASE WHEN length({digits}) BETWEEN 12 AND 19 THEN 'card' END, "
         f"CASE WHEN length({digits}) BETWEEN 6 AND 15 THEN 'phone' END), k -> k IS NOT NULL) END"
@@ -172,56 +189,70 @@ def _patterns() -> Column:
     )
 
 
-def discover(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(seq, kind, start, end) of the candidates under patterns of high confidence."""
+def _rated(edges: DataFrame, seeded: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(pattern, kind, rated) of patterns with enough instances that are known: ``seeded`` ones and those ``found``."""
+    known = F.col("seeds")
+    if found is not None:
+        gain = edges.join(bounded(found, ENTRY_BYTES), ["kind", "instance"]).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("gain"))
+        seeded = seeded.join(gain, ["pattern", "kind"], "left")
+        known = known + F.coalesce("gain", F.lit(0))
+    rated = seeded.select("pattern", "kind", (known / (F.col("total") + 1)).alias("rated"), known.alias("known"))
+    return written(rated.where((F.col("known") >= SUPPORT) & (F.col("rated") >= DOUBTFUL)).drop("known"), "rated")
+
+
+def discover(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(seq, kind, start, end) of the unseen identifiers that the patterns of ``mentions`` lead to."""
     seen = mentions.where("kind IS NOT NULL OR size(kinds) > 0").select("*", F.explode(_patterns()).alias("pattern"))
     seen = written(seen.drop("before", "behind"), "contexts")
-    instances = seen.select("pattern", F.coalesce("kind", F.lit("?")).alias("kind"), "instance", F.when(F.col("kind").isNull(), F.col("kinds")).alias("kinds"))
-    instances = instances.groupBy("pattern", "kind", "instance").agg(F.max("kinds").alias("kinds"))
-    counts = instances.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), *[F.sum((F.col("kind") == k).cast("long")).alias(k) for k in KINDS])
-    # Patterns that can still reach the confidence if every candidate turns out well.
-    counts = written(counts.where(F.col("total") >= support), "patterns")
-    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*KINDS))).alias("kind", "seeds")
-    base = written(counts.select("pattern", "total", pairs).where("seeds > 0"), "seeded")
-    edges = instances.where("kind = '?'").select("pattern", "instance", F.explode("kinds").alias("kind"))
-    edges = written(edges.join(bounded(base.select("pattern", "kind"), ENTRY_BYTES), ["pattern", "kind"], "left_semi"), "edges")
-    if edges.isEmpty():
-        return mentions.sparkSession.createDataFrame([], "seq long, kind string, start int, end int")
-    good, scores = base.withColumn("gain", F.lit(0.0)), None
+    # Each instance once under a pattern, with the kind that it is known by or the kinds that it may be of.
+    instances = seen.select("pattern", F.coalesce("kind", F.lit("?")).alias("own"), "instance", F.when(F.col("kind").isNull(), F.col("kinds")).alias("kinds"))
+    instances = written(instances.groupBy("pattern", "own", "instance").agg(F.max("kinds").alias("kinds")), "instances")
+    totals = instances.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT)
+    totals = bounded(written(totals, "totals"), ENTRY_BYTES)
+    edges = instances.where("own = '?'").select("pattern", "instance", F.explode("kinds").alias("kind"))
+    edges = written(edges.join(totals.select("pattern"), "pattern", "left_semi"), "edges")
+    sides = instances.where("own != '?'").select("pattern", F.col("own").alias("kind"), F.lit(1).alias("seeds"))
+    sides = sides.unionByName(edges.select("pattern", "kind", F.lit(0).alias("seeds")))
+    seeded = written(sides.groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds")).join(totals, "pattern"), "seeded")
+    found, count = None, 0
     for _ in range(rounds):
-        rated = (F.col("seeds") + F.col("gain")) / (F.col("total") + 1)
-        good = written(good.withColumn("rated", rated), "rated")
-        doubt = F.sum(F.log1p(-F.least(F.col("rated"), F.lit(0.95))))
-        scores = edges.join(bounded(good.select("pattern", "kind", "rated"), ENTRY_BYTES), ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score"))
-        scores = written(scores, "scores")
-        gain = edges.join(bounded(scores, ENTRY_BYTES), ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-        good = good.select("pattern", "total", "kind", "seeds").join(gain, ["pattern", "kind"], "left")
-        good = good.select("pattern", "kind", "total", "seeds", F.coalesce("gain", F.lit(0.0)).alias("gain"))
-    rated = (F.col("seeds") + F.col("gain")) / (F.col("total") + 1)
-    final = good.select("pattern", "kind", rated.alias("rated"), (F.col("seeds") + F.col("gain")).alias("held"))
-    final = written(final.where((F.col("rated") >= confidence) & (F.col("held") >= support)), "confident")
-    spread = seen.where("kind IS NULL").select("seq", "start", "end", "pattern", F.explode("kinds").alias("kind"))
-    hits = spread.join(bounded(final, ENTRY_BYTES), ["pattern", "kind"])
-    best = F.max_by("kind", F.struct("rated", "kind"))
+        rated = bounded(_rated(edges, seeded, found), ENTRY_BYTES)
+        doubt = F.sum(F.log1p(-F.least("rated", F.lit(0.99))))
+        scores = edges.join(rated, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score"))
+        found = written(scores.where(F.col("score") >= CONFIDENCE), "found")
+        before, count = count, found.count()
+        if count == before:  # what is known only grows
+            break
+    rated = bounded(_rated(edges, seeded, found), ENTRY_BYTES)
+    under = seen.where("kind IS NULL OR kind = 'secret'").select("seq", "start", "end", "instance", "pattern", (F.col("kind") == "secret").alias("secret"), F.explode("kinds").alias("kind"))
+    under = under.join(rated, ["pattern", "kind"])
+    hits = under.where("secret").select("seq", "start", "end", "kind", F.lit(1.0).alias("score"))
+    unseen = under.where("secret IS NULL").join(bounded(found, ENTRY_BYTES), ["kind", "instance"])
+    hits = hits.unionByName(unseen.select("seq", "start", "end", "kind", "score"))
+    best = F.max_by("kind", F.struct("score", "kind"))
     return hits.groupBy("seq", "start", "end").agg(best.alias("kind")).select("seq", "kind", "start", "end")
 
 
+def _apart(added: DataFrame, base: DataFrame) -> DataFrame:
+    """The ``added`` rows that overlap no span of ``base`` (seq, base).  Mentions never overlap each other."""
+    own = base.join(bounded(written(added.select("seq").distinct(), "touched"), ENTRY_BYTES), "seq", "left_semi")
+    spans = own.select("seq", F.explode("base").alias("b")).select("seq", F.lit(None).cast("string").alias("kind"), "b.start", "b.end")
+    order = W.partitionBy("seq").orderBy("start", F.col("kind").isNotNull())  # a document's spans
+    past = F.max(F.when(F.col("kind").isNull(), F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ahead = F.min(F.when(F.col("kind").isNull(), F.col("start"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    rows = added.select("seq", "kind", "start", "end").unionByName(spans).select("*", past.alias("past"), ahead.alias("ahead")).where("kind IS NOT NULL")
+    return rows.where((F.coalesce("past", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))).select("seq", "kind", "start", "end")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of every document: arrays of (kind, start, end) by kind, then start."""
     found = scan(docs)
-    added = discover(mention_rows(found))
-    added = added.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("more"))
-    added = bounded(written(added, "added"), ENTRY_BYTES)
+    added = written(discover(mention_rows(found)), "discovered")
     base = found.select("seq", "doc_id", F.concat(*[_spans(k) for k in KINDS]).alias("base"))
-    free = "filter(more, m -> NOT exists(base, b -> b.start < m.end AND m.start < b.end))"
-    apart = (
-        f"aggregate({free}, named_struct('last', -1, 'out', CAST(array() AS array<struct<start: int, end: int, kind: string>>)), "
-        "(acc, m) -> CASE WHEN m.start >= acc.last THEN named_struct('last', m.end, 'out', array_append(acc.out, m)) ELSE acc END).out"
-    )
-    renamed = f"transform({apart}, m -> named_struct('kind', m.kind, 'start', m.start, 'end', m.end))"
-    rank = "array_position(array('email', 'ip', 'card', 'phone'), {x}.kind)"
-    order = f"(x, y) -> CASE WHEN {rank.format(x='x')} != {rank.format(x='y')} THEN sign({rank.format(x='x')} - {rank.format(x='y')}) ELSE sign(x.start - y.start) END"
-    merged = f"CASE WHEN more IS NULL THEN base ELSE array_sort(concat(base, {renamed}), (x, y) -> CAST(({order.partition('-> ')[2]}) AS int)) END"
+    added = _apart(added, base).groupBy("seq").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    added = bounded(written(added, "added"), ENTRY_BYTES)
+    ranked = f"transform(concat(base, more), s -> named_struct('rank', array_position(array({', '.join(map(repr, ALL_KINDS))}), s.kind), 'start', s.start, 'span', s))"
+    merged = f"CASE WHEN more IS NULL THEN base ELSE transform(array_sort({ranked}), s -> s.span) END"
     return base.join(added, "seq", "left").select("doc_id", "base", F.expr(merged).alias("spans"))
 
 
@@ -243,7 +274,10 @@ def joined(spans: str) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select(
+        "doc_id", *counts, added, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") > 0).alias("private")
+    )
 
 
 QUERIES = {"op8_pii": query}
