@@ -6,18 +6,24 @@ links close transitively.
 
 Candidates are exact: of five bit ranges at least two agree whenever three bits
 differ, so each distinct fingerprint goes under ten keys of 25 or 26 bits, and
-every link shows under one of them.  Fingerprints under one key are compared
-bit-sliced.  Keys that hold many fingerprints are cut into blocks, and every
-pair of blocks is a task of bounded size.  A task returns a spanning forest of
-its links, never all pairs; large-star/small-star joins the forests.
+every link shows under one of them.  Keys that hold many fingerprints are refined:
+of four parts of the bits outside the key at least one agrees as well, so their
+fingerprints go under four longer keys each.  Fingerprints under one key are
+compared bit-sliced.  Keys that still hold many are cut into blocks, and every
+pair of blocks is a task of bounded size; a fingerprint is sent once for each
+block of its key, so that work grows with the square of what differs and yet
+agrees in about 36 bits.  A task returns a spanning forest of its links, never all
+pairs; large-star/small-star joins the forests.
 
 Equal fingerprints are collapsed before any comparison, so that copies, however
 many, cost one row.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like
-any other; a null doc_id takes part, and its group's component_id is the
-smallest non-null one (null if there is none); repeated rows are returned as
-often as they occur; other input columns are ignored.
+any other; texts of any length count whole; a null doc_id takes part, and its
+group's component_id is the smallest non-null one (null if there is none);
+repeated rows are returned as often as they occur; other input columns, whatever
+their names, are ignored (and pass ``drop_near_duplicates`` untouched); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ SEED = 42
 RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of one key in one block; a task compares two blocks.
 BLOCK = 4096
+#: Marks refined keys.
+REFINED = 1 << 60
 #: Groups up to this size are compared pair by pair of offsets, many groups at once.
 SMALL = 32
 ENTRY_BYTES = 64
@@ -82,6 +90,36 @@ def candidate_keys(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def refined_keys(rows: DataFrame) -> DataFrame:
+    """(key, fp) under four longer keys for each (key, fp): the key with a quarter of the bits outside it."""
+    number = F.shiftrightunsigned("key", 32)
+    out = None
+    for t, (a, b) in enumerate(combinations(RANGES, 2)):
+        rest = [o + k for o, w in RANGES if (o, w) not in (a, b) for k in range(w)]
+        parts = [rest[k * len(rest) // 4 : (k + 1) * len(rest) // 4] for k in range(4)]
+        longer = []
+        for p, bits in enumerate(parts):
+            # Neighbouring bits of a part are taken together.
+            value, shift = F.lit(0).cast("long"), 0
+            for offset, width in _stretches(bits):
+                value, shift = value + F.shiftleft(_bits(offset, width), shift), shift + width
+            longer.append(F.lit(REFINED) + F.shiftleft(F.col("key"), 12) + F.shiftleft(F.lit(p).cast("long"), 10) + value)
+        longer = F.array(*longer)
+        out = F.when(number == t, longer) if out is None else out.when(number == t, longer)
+    return rows.select("fp", F.explode(out).alias("key"))
+
+
+def _stretches(bits: list[int]) -> list[tuple[int, int]]:
+    """(offset, width) of the runs of neighbouring numbers."""
+    found: list[tuple[int, int]] = []
+    for b in bits:
+        if found and b == sum(found[-1]):
+            found[-1] = found[-1][0], found[-1][1] + 1
+        else:
+            found.append((b, 1))
+    return found
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position linked to each of n positions."""
     label = np.arange(n)
@@ -162,9 +200,19 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all links between distinct fingerprints."""
+
+    def counted(keys: DataFrame) -> DataFrame:
+        return written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+
     keys = candidate_keys(distinct)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = bounded(written(shared, "keys"), ENTRY_BYTES)
+    shared = counted(keys)
+    crowded = shared.where(F.col("n") > BLOCK)
+    if not crowded.isEmpty():
+        crowded = bounded(written(crowded.select("key"), "crowded"), ENTRY_BYTES)
+        refined = written(refined_keys(keys.join(crowded, "key", "left_semi")), "refined")
+        shared = shared.where(F.col("n") <= BLOCK).unionByName(counted(refined))
+        keys = keys.join(crowded, "key", "left_anti").select("fp", "key").unionByName(refined)
+    shared = bounded(shared, ENTRY_BYTES)
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     rows = keys.join(shared, "key").select("key", "fp", own.alias("own"), blocks.cast("int").alias("blocks"))
