@@ -3,6 +3,14 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to
 the shared folder and hands what it reads again to the next one.  All stages but
 the last return the columns of documents.
+
+Defined results of every stage: a null text counts as empty and texts of any length
+are read whole; empty texts aren't toxic, are copies of each other and aren't
+contaminated; a null doc_id sorts behind all others where the smallest one stays;
+rows of one doc_id are judged each by its own text, and of rows equal in text and
+doc_id one stays; ties between near copies go to the smaller SHA-256 of the text;
+further columns, whatever their names, pass untouched up to the last stage; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
