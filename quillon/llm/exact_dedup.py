@@ -40,8 +40,8 @@ from quillon.llm.common import bounded, fresh_dir, measured_bytes, table, writte
 ENTRY_BYTES = 256
 #: Flushes of one input, and runs of a level that are merged into one.
 GENERATIONS, FANOUT = 4, 2
-#: Digests of a bucket.
-BUCKET_ROWS = 2_000_000
+#: Digests of a bucket, and of one of an index so small that it has fewer buckets than there are shuffle partitions.
+BUCKET_ROWS, SMALL_ROWS = 2_000_000, 200_000
 #: Bits of a filter block (fixed by Spark's bitmap functions), and for each digest.
 BLOCK_BITS, DIGEST_BITS = 32_768, 16
 BLOCK_BYTES = BLOCK_BITS // 8
@@ -130,10 +130,12 @@ class MergeIndex:
         """An index for about ``rows`` digests.
 
         The number of buckets is a multiple of that of shuffle partitions, so
-        that the aggregation's exchange deals whole buckets to its tasks.
+        that the aggregation's exchange deals whole buckets to its tasks; a
+        small index has fewer, so that its runs aren't scattered over files.
         """
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return cls(spark, least * max(1, -(-rows // BUCKET_ROWS // least)), root or fresh_dir(spark, "lsm"))
+        few = max(1, -(-rows // SMALL_ROWS))
+        return cls(spark, few if few <= least else least * -(-rows // (BUCKET_ROWS * least)), root or fresh_dir(spark, "lsm"))
 
     @property
     def runs(self) -> list[Run]:
