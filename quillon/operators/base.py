@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +53,14 @@ class Estimator:
 
 
 def clone(estimator: object) -> object:
-    """A new estimator with the same parameters; nested estimators are cloned too."""
-    params = {k: clone(v) if hasattr(v, "get_params") and not isinstance(v, type) else v for k, v in estimator.get_params(deep=False).items()}
-    return type(estimator)(**params)
+    """A new estimator with the same parameters; nested estimators are cloned too, also within lists of steps."""
+
+    def copied(v: object) -> object:
+        if isinstance(v, (list, tuple)) and any(isinstance(x, (list, tuple)) or hasattr(x, "get_params") for x in v):
+            return type(v)(map(copied, v))
+        return clone(v) if hasattr(v, "get_params") and not isinstance(v, type) else v
+
+    return type(estimator)(**{k: copied(v) for k, v in estimator.get_params(deep=False).items()})
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -97,7 +104,26 @@ def literal(values: np.ndarray) -> Column:
 
 
 def matrix(values: pd.Series) -> np.ndarray:
-    return np.array(values.tolist(), dtype=float) if len(values) else np.zeros((0, 0))
+    """Rows of a column of arrays, which must be of one length."""
+    if not len(values):
+        return np.zeros((0, 0))
+    if not isinstance(values.iloc[0], np.ndarray):
+        return np.array(values.tolist(), dtype=float)
+    size = len(values.iloc[0])
+    if any(len(v) != size for v in values):
+        raise ValueError("arrays of several lengths")
+    return np.concatenate(values.to_numpy()).reshape(len(values), size).astype(float, copy=False)
+
+
+def arrow_values(column: pa.Array) -> np.ndarray:
+    """A numeric Arrow column as it lies in memory; a column of arrays as a matrix."""
+    if not (pa.types.is_list(column.type) or pa.types.is_large_list(column.type)):
+        return column.to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = len(flat) // max(1, len(column))
+    if pc.any(pc.not_equal(pc.list_value_length(column), size)).as_py() or column.null_count:
+        raise ValueError("arrays of several lengths")
+    return flat.reshape(len(column), size).astype(float, copy=False)
 
 
 def partial_sums(df: DataFrame, columns: Sequence[Column], compute: Callable[..., np.ndarray], size: int) -> np.ndarray:
@@ -108,16 +134,16 @@ def partial_sums(df: DataFrame, columns: Sequence[Column], compute: Callable[...
     """
     names = [f"c{k}" for k in range(len(columns))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(size), False
         for batch in batches:
-            if len(batch):
-                total += compute(*[matrix(batch[n]) if isinstance(batch[n].iloc[0], (list, np.ndarray)) else batch[n].to_numpy() for n in names])
+            if batch.num_rows:
+                total += compute(*map(arrow_values, batch.columns))
                 seen = True
         if seen:
-            yield pd.DataFrame({"k": np.arange(size), "v": total})
+            yield pa.RecordBatch.from_pydict({"k": np.arange(size), "v": total})
 
-    rows = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).mapInPandas(run, "k long, v double")
+    rows = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).mapInArrow(run, "k long, v double")
     out = np.zeros(size)
     for row in rows.groupBy("k").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
         out[row["k"]] = row["v"]

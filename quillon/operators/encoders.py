@@ -310,6 +310,16 @@ def make_column_transformer(*transformers: tuple[object, Selector], remainder: o
     return ColumnTransformer(named, remainder)
 
 
+class _Nothing(Estimator):
+    """Stands for a step that is fitted elsewhere."""
+
+    def __init__(self) -> None:
+        pass
+
+    def fit(self, df: DataFrame, *args: object) -> _Nothing:
+        return self
+
+
 class Pipeline(Estimator):
     """Transformers in turn; ``None`` and "passthrough" steps do nothing."""
 
@@ -341,6 +351,20 @@ class Pipeline(Estimator):
                 df = own.transform(df)
         return self
 
+    def prefix(self) -> tuple:
+        """What the fit of all steps but the last depends on, besides the rows."""
+        return tuple((n, repr(s)) for n, s in self.steps[:-1])
+
+    def fit_prefix(self, df: DataFrame) -> list[tuple[str, object]]:
+        """All steps but the last, fitted in turn."""
+        return Pipeline([*self.steps[:-1], ("last", _Nothing())]).fit(df).fitted_[:-1]
+
+    def fit_last(self, fitted: list[tuple[str, object]], df: DataFrame, *args: object) -> Pipeline:
+        """The last step on rows that the ``fitted`` ones have transformed."""
+        name, step = self.steps[-1]
+        self.fitted_ = [*fitted, (name, clone(step).fit(df, *args))]
+        return self
+
     def transform(self, df: DataFrame) -> DataFrame:
         for _, step in self.fitted_:
             df = step.transform(df)
@@ -351,6 +375,70 @@ class Pipeline(Estimator):
             df = step.transform(df)
         return self.fitted_[-1][1].predict(df)
 
+    @property
+    def _estimator_type(self) -> str:
+        return getattr(self.steps[-1][1], "_estimator_type", "")
+
+    def score(self, df: DataFrame, *args: object) -> float:
+        for _, step in self.fitted_[:-1]:
+            df = step.transform(df)
+        return self.fitted_[-1][1].score(df, *args)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+
+class FeatureUnion(Estimator):
+    """Transformers side by side on the same rows; the columns that each adds or changes stand behind ``keep``, named ``step__column``.
+
+    One transformer after the other works on the frame, so that rows need no
+    join.  A step of ``None`` or "drop" gives nothing, "passthrough" the input's
+    own columns.
+    """
+
+    def __init__(self, transformer_list: Sequence[tuple[str, object]], keep: Sequence[str] = ()):
+        self.transformer_list, self.keep = transformer_list, keep
+
+    def set_params(self, **params: object) -> FeatureUnion:
+        own = dict(self.transformer_list)
+        for name, value in params.items():
+            step, _, rest = name.partition("__")
+            if step == "keep":
+                self.keep = value
+            elif step not in own:
+                raise ValueError(f"FeatureUnion has no step {step!r}")
+            elif rest:
+                own[step].set_params(**{rest: value})
+            else:
+                own[step] = value
+        self.transformer_list = list(own.items())
+        return self
+
+    def fit(self, df: DataFrame, *args: object) -> FeatureUnion:
+        self.fitted_ = [(n, s if s in (None, "drop", "passthrough") else clone(s).fit(df)) for n, s in self.transformer_list]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        self.check_fitted("fitted_")
+        source = "__union_"
+        out = df.select(*[F.col(f"`{c}`") for c in self.keep], *[F.col(f"`{c}`").alias(f"{source}{c}") for c in df.columns])
+        for name, step in self.fitted_:
+            if step in (None, "drop"):
+                continue
+            done = [c for c in out.columns if not c.startswith(source)]
+            # The step sees the input's columns by their own names, all others under names of its own.
+            held = {c: f"__held_{k}" for k, c in enumerate(out.columns)}
+            frame = out.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()], *[F.col(f"`{source}{c}`").alias(c) for c in df.columns])
+            made = frame if step == "passthrough" else step.transform(frame)
+            missing = [h for h in held.values() if h not in made.columns]
+            if missing:
+                raise ValueError(f"step {name!r} doesn't hand on the columns that it doesn't use")
+            changed = [c for c in made.columns if c not in held.values() and c not in self.keep]
+            out = made.select(
+                *[F.col(held[c]).alias(c) for c in done], *[F.col(f"`{c}`").alias(f"{name}__{c}") for c in changed], *[F.col(held[f"{source}{c}"]).alias(f"{source}{c}") for c in df.columns]
+            )
+        return out.drop(*[f"{source}{c}" for c in df.columns])
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 

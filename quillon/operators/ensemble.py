@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,10 @@ from quillon.functions.metrics import accuracy_score, get_scorer, r2_score
 from quillon.operators.base import Estimator, Features, clone, matrix, vector
 
 
+#: Rows that one call of ``partial_fit`` gets at most.
+CALL_ROWS = 100_000
+
+
 def block_of(key: str, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(n_blocks)).cast("int")
 
@@ -110,15 +115,25 @@ class ParallelPostFit(Estimator):
 
 
 def sequential_fit(model: object, df: DataFrame, features: Features, label: str, key: str, n_blocks: int, order: Sequence[int], **kw: object) -> object:
-    """``partial_fit`` over blocks in turn; each block's rows come to the driver alone and are forgotten."""
+    """``partial_fit`` over blocks in turn; a block's rows come to the driver alone and are forgotten.
+
+    Whatever the table's size, a call gets ``CALL_ROWS`` rows at most: larger
+    blocks are streamed to several calls, in the order of ``key``.
+    """
     if not hasattr(model, "partial_fit"):
-        raise ValueError("The class 'learner' does not implement 'partial_fit'.")
+        raise ValueError(f"{type(model).__name__} can't be trained in parts: it has no partial_fit")
     rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").alias("y"), block_of(key, n_blocks).alias("b"), F.col(f"`{key}`").alias("k")).persist()
     try:
+        sizes = {r["b"]: r["count"] for r in rows.groupBy("b").count().collect()}  # n_blocks rows
         for block in order:
-            part = rows.where(F.col("b") == block).orderBy("k").select("x", "y").toPandas()
-            if len(part):
-                model.partial_fit(matrix(part["x"]), part["y"].to_numpy(), **kw)
+            part = rows.where(F.col("b") == block).orderBy("k").select("x", "y")
+            if 0 < sizes.get(block, 0) <= CALL_ROWS:
+                own = part.toPandas()
+                model.partial_fit(matrix(own["x"]), own["y"].to_numpy(), **kw)
+                continue
+            stream = part.toLocalIterator()
+            while held := list(islice(stream, CALL_ROWS)):
+                model.partial_fit(np.array([r["x"] for r in held], dtype=float), np.array([r["y"] for r in held]), **kw)
     finally:
         rows.unpersist()
     return model

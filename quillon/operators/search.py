@@ -16,6 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.metrics import check_scoring
 from quillon.operators.base import Estimator, Features, clone, matrix, vector
+from quillon.operators.encoders import Pipeline
 from quillon.operators.ensemble import ParallelPostFit, block_of, copy_learned
 from quillon.operators.splits import check_cv, uniform
 
@@ -128,7 +130,20 @@ class _CVSearch(_Search):
             try:
                 start = time.monotonic()
                 model = clone(self.estimator).set_params(**candidates[c])
-                model.fit(train, features, label)
+                if isinstance(model, Pipeline) and len(model.steps) > 1:
+                    # Candidates that differ in the last step only share the fit of those before it.
+                    key = (s, model.prefix())
+                    with guard:
+                        lock = locks.setdefault(key, Lock())
+                    with lock:
+                        if key not in prefixes:
+                            prefixes[key] = model.fit_prefix(train)
+                    fitted, rows = prefixes[key], train
+                    for _, step in fitted:
+                        rows = step.transform(rows)
+                    model.fit_last(fitted, rows, features, label)
+                else:
+                    model.fit(train, features, label)
                 out["fit"], start = time.monotonic() - start, time.monotonic()
                 for name, scorer in scorers.items():
                     out[f"test_{name}"] = scorer(model, test, label)
@@ -142,12 +157,16 @@ class _CVSearch(_Search):
                     out[f"test_{name}"] = out[f"train_{name}"] = float(self.error_score)
             return out
 
+        prefixes: dict[tuple, list] = {}
+        locks: dict[tuple, Lock] = {}
+        guard = Lock()
         tasks = list(product(range(len(candidates)), range(len(splits))))
         with ThreadPoolExecutor(self.n_jobs if self.n_jobs > 0 else 8) as pool:
             made = dict(zip(tasks, pool.map(one, tasks), strict=True))
         for a, b in splits:
             a.unpersist()
             b.unpersist()
+        self.prefix_fits_ = len(prefixes)
         self.n_splits_, self.multimetric_, self.scorer_ = len(splits), multi, scorers[self.refit] if multi and self.refit else next(iter(scorers.values()))
         self.cv_results_ = self._results(candidates, made, scorers, weights)
         main = self.refit if multi else "score"

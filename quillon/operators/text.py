@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ class CountVectorizer(Estimator):
     """Term counts over a sorted vocabulary.
 
     Document frequencies are of the whole frame (with ``min_df``, ``max_df`` as
-    numbers or shares).  Counts are made by a shuffle of (row, term) counts.
+    numbers or shares).  Counts are made within each row, against a broadcast
+    vocabulary of at most ``MAX_TERMS`` terms; ``key`` may be null or repeat.
     """
 
     def __init__(self, column: str = "text", key: str = "id", lowercase: bool = True, token_pattern: str = TOKEN, ngram_range: tuple[int, int] = (1, 1), stop_words: Sequence[str] = (), min_df: float = 1, max_df: float = 1.0, max_features: int | None = None, vocabulary: Mapping[str, int] | Sequence[str] | None = None, binary: bool = False):
@@ -74,23 +76,29 @@ class CountVectorizer(Estimator):
         return self
 
     def term_counts(self, df: DataFrame) -> DataFrame:
-        """(key, term index, count) in long form, unknown terms left out."""
-        self.check_fitted("vocabulary_")
-        table = df.sparkSession.createDataFrame(list(self.vocabulary_.items()), "term string, term_index int")
-        rows = df.select(F.col(f"`{self.key}`"), F.explode(self._terms()).alias("term")).groupBy(self.key, "term").agg(F.count(F.lit(1)).alias("count"))
-        if self.binary:
-            rows = rows.withColumn("count", F.lit(1).cast("long"))
-        return rows.join(F.broadcast(table), "term").select(self.key, "term_index", "count")  # bounded by MAX_TERMS
+        """(key, term index, count) of every row in long form, unknown terms left out."""
+        pair = F.explode(F.arrays_zip("__counts.indices", "__counts.values")).alias("p")
+        rows = self.transform(df, "__counts").select(f"`{self.key}`", pair)
+        return rows.select(f"`{self.key}`", F.col("p.indices").alias("term_index"), F.col("p.values").cast("long").alias("count"))
 
     def transform(self, df: DataFrame, output: str = "counts") -> DataFrame:
         """(key, sparse counts) for every row; a row without known terms is empty."""
-        entries = F.sort_array(F.collect_list(F.struct("term_index", "count")))
-        made = self.term_counts(df).groupBy(self.key).agg(entries.alias("e"))
-        joined = df.select(self.key).join(made, self.key, "left")
-        empty = F.array().cast("array<struct<term_index:int,count:bigint>>")
-        e = F.coalesce("e", empty)
-        sparse = F.struct(F.lit(len(self.vocabulary_)).alias("size"), F.transform(e, lambda x: x["term_index"]).alias("indices"), F.transform(e, lambda x: x["count"].cast("double")).alias("values"))
-        return joined.select(self.key, sparse.alias(output))
+        self.check_fitted("vocabulary_")
+        known, binary = df.sparkSession.sparkContext.broadcast(self.vocabulary_), self.binary
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = known.value
+            for batch in batches:
+                names, term, row = _flat_terms(batch.column(1))
+                index = np.fromiter((vocabulary.get(t, -1) for t in names), dtype=np.int64, count=len(names))[term]
+                row, index = row[index >= 0], index[index >= 0]
+                at, counts = np.unique(row * len(vocabulary) + index, return_counts=True)
+                values = np.ones(len(at)) if binary else counts.astype(float)
+                made = _sparse(batch.num_rows, len(vocabulary), at // len(vocabulary), at % len(vocabulary), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0), made], [self_key, output])
+
+        self_key, kind = self.key, dict(df.dtypes)[self.key]
+        return df.select(F.col(f"`{self.key}`"), self._terms().alias("__terms")).mapInArrow(run, f"`{self.key}` {kind}, `{output}` {SPARSE}")
 
     def fit_transform(self, df: DataFrame, output: str = "counts") -> DataFrame:
         return self.fit(df).transform(df, output)
@@ -120,14 +128,32 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def _flat_terms(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct terms, number of each occurrence's term, its row) of a column of arrays."""
+    terms = lists.flatten().dictionary_encode()
+    sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return terms.dictionary.to_pylist(), terms.indices.to_numpy(), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _sparse(rows: int, size: int, row: np.ndarray, index: np.ndarray, values: np.ndarray) -> pa.StructArray:
+    """Sparse rows of entries that are sorted by row and index."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))), pa.int32())
+    parts = [pa.ListArray.from_arrays(offsets, pa.array(v, kind)) for v, kind in ((index, pa.int32()), (values, pa.float64()))]
+    return pa.StructArray.from_arrays([pa.array(np.full(rows, size), pa.int32()), *parts], ["size", "indices", "values"])
+
+
+#: Terms whose places a task keeps.
+KNOWN_TERMS = 500_000
+
+
 class _Hasher(Estimator):
-    def _hashed(self, df: DataFrame, terms: Column, output: str, norm: str | None) -> DataFrame:
-        """Terms are maps of names to values, or arrays of names."""
+    def _hashed(self, df: DataFrame, terms: Column, amounts: Column | None, output: str, norm: str | None) -> DataFrame:
+        """Arrays of names, and of their values if those aren't all 1."""
         size, signed, binary = self.n_features, self.alternate_sign, getattr(self, "binary", False)
-        rows = df.withColumn("__terms", terms)
-        kept = df.columns
+        kept, weighted = [c for c in df.columns if c != output], amounts is not None
+        extra = [terms.alias("__terms"), *([] if amounts is None else [amounts.alias("__amounts")])]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, tuple[int, int]] = {}
 
             def place(term: str) -> tuple[int, int]:
@@ -135,28 +161,30 @@ class _Hasher(Estimator):
                 if found is None:
                     h = murmur3(term.encode("utf-8", "surrogatepass"))
                     found = known[term] = (abs(h) % size, -1 if signed and h < 0 else 1)
-                    if len(known) > 500_000:
-                        known.clear()
                 return found
 
             for batch in batches:
-                made = []
-                for items in batch["__terms"]:
-                    sums: dict[int, float] = {}
-                    pairs = items.items() if isinstance(items, dict) else items if len(items) and isinstance(items[0], tuple) else ((t, 1.0) for t in items)
-                    for term, amount in pairs:
-                        at, sign = place(term)
-                        sums[at] = sums.get(at, 0.0) + sign * amount
-                    at = sorted(k for k, v in sums.items() if v)
-                    values = np.array([1.0 if binary else sums[k] for k in at])
-                    if norm and len(values):
-                        total = np.abs(values).sum() if norm == "l1" else np.sqrt(values @ values)
-                        values = values / total
-                    made.append({"size": size, "indices": at, "values": values.tolist()})
-                yield batch[kept].assign(**{output: made})
-
-        schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"`{output}` {SPARSE}"])
-        return rows.mapInPandas(run, schema)
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+                names, term, row = _flat_terms(batch.column(len(kept)))
+                at, sign = np.array([place(t) for t in names], dtype=np.int64).reshape(-1, 2).T
+                amount = sign[term].astype(float)
+                if weighted:
+                    amount = amount * batch.column(len(kept) + 1).flatten().to_numpy(zero_copy_only=False)
+                cell, entry = np.unique(row * size + at[term], return_inverse=True)
+                sums = np.bincount(entry, amount, len(cell))
+                cell, sums = cell[sums != 0], sums[sums != 0]
+                row, index = cell // size, cell % size
+                if binary:
+                    sums = np.ones(len(sums))
+                if norm:
+                    total = np.bincount(row, np.abs(sums) if norm == "l1" else sums**2, batch.num_rows)
+                    sums = sums / (total if norm == "l1" else np.sqrt(total))[row]
+                made = _sparse(batch.num_rows, size, row, index, sums)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], made], [*kept, output])
+
+        schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != output], f"`{output}` {SPARSE}"])
+        return df.select(*[f"`{c}`" for c in kept], *extra).mapInArrow(run, schema)
 
 
 class HashingVectorizer(_Hasher):
@@ -173,7 +201,7 @@ class HashingVectorizer(_Hasher):
         if dict(df.dtypes).get(self.column) != "string":
             raise ValueError(f"{self.column} is not a column of texts")
         terms = tokens(F.col(f"`{self.column}`"), self.token_pattern, self.lowercase, self.ngram_range, self.stop_words)
-        return self._hashed(df, terms, output, self.norm)
+        return self._hashed(df, terms, None, output, self.norm)
 
     fit_transform = transform
 
@@ -191,9 +219,11 @@ class FeatureHasher(_Hasher):
 
     def transform(self, df: DataFrame, output: str = "hashed") -> DataFrame:
         column = F.col(f"`{self.column}`")
-        if self.input_type == "pair":
-            column = F.map_from_entries(column)
-        empty = F.array().cast("array<string>") if self.input_type == "string" else F.create_map().cast("map<string,double>")
-        return self._hashed(df, F.coalesce(column, empty), output, None)
+        if self.input_type == "string":
+            return self._hashed(df, F.coalesce(column, F.array().cast("array<string>")), None, output, None)
+        if self.input_type == "dict":
+            column = F.map_entries(column)
+        entries = F.coalesce(column.cast("array<struct<name:string,value:double>>"), F.array().cast("array<struct<name:string,value:double>>"))
+        return self._hashed(df, F.transform(entries, lambda e: e["name"]), F.transform(entries, lambda e: e["value"]), output, None)
 
     fit_transform = transform

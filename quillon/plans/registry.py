@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import evaluation, modelling, preprocessing
+from quillon.plans import evaluation, invariants, modelling, preprocessing
 from quillon.plans.tables import Query
 
-_MODULES = (preprocessing, evaluation, modelling)
+_MODULES = (preprocessing, evaluation, modelling, invariants)
 
 
 def queries() -> dict[str, Query]:
