@@ -30,7 +30,6 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +45,7 @@ FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS = 3000
 WINDOW = 48
 #: Windows of a block of the gradient.
-BLOCK_WINDOWS = 8000
+BLOCK_WINDOWS = 3000
 #: Hash space of features.
 HASH = 1 << 17
 #: Induced labels: standard deviations below the log odds, what must remain, documents at least.
@@ -55,6 +54,8 @@ ROUNDS, RATE, DECAY = 12, 0.3, 1e-6
 #: Words whose weights a task keeps; words scored together.
 CACHE_WORDS = 200_000
 CHUNK_WORDS = 500_000
+#: Words of training documents scored together on the driver.
+TRAIN_WORDS = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -214,32 +215,32 @@ def induced_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]
     """
     contexts = _contexts([d for d, y in zip(docs, toxic.tolist(), strict=True) if y])
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    marked: set[str] = set()
-    own = [set(words) for words in docs]
+    numbers: dict[str, int] = {}
+    own = [np.unique(np.fromiter((numbers.setdefault(w, len(numbers)) for w in d), dtype=np.int32, count=len(d))) for d in docs]
+    around = np.fromiter((contexts.get(w, 0) for w in numbers), dtype=np.int64, count=len(numbers))
+    marked = np.zeros(len(numbers), dtype=bool)
     for size in (None, 6, 5, 4, 3):
-        seen = [Counter(), Counter()]
+        codes: dict[str, int] = {}
+        feature = np.fromiter(
+            (codes.setdefault(w if size is None else w[:size], len(codes)) if size is None or len(w) > size else -1 for w in numbers),
+            dtype=np.int64, count=len(numbers),
+        )
+        seen, near = np.zeros((2, len(codes))), np.zeros(len(numbers), dtype=bool)
         for words, y in zip(own, toxic.tolist(), strict=True):
-            seen[y].update(words if size is None else {w[:size] for w in words if len(w) > size})
-        around: Counter = Counter()
-        for w in set().union(*(words for words, y in zip(own, toxic.tolist(), strict=True) if y)):
-            if size is None or len(w) > size:
-                around[w[:size]] += contexts[w]
-        strong = set()
-        for feature, k in seen[1].items():
-            k = min(k, around[feature])
-            if k >= SUPPORT:
-                other = seen[0].get(feature, 0)
-                odds = np.log((k + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
-                if odds - BOUND * np.sqrt(1 / (k + 0.5) + 1 / (other + 0.5)) >= CLEAR:
-                    strong.add(feature)
-        if strong:
-            for k, words in enumerate(own):
-                new = words & strong if size is None else {w for w in words if len(w) > size and w[:size] in strong}
-                if new:
-                    marked |= new
-                    own[k] = words - new
+            found = np.unique(feature[words])
+            seen[y, found[found >= 0]] += 1
+            if y:
+                near[words] = True
+        near &= feature >= 0
+        k = np.minimum(seen[1], np.bincount(feature[near], around[near], len(codes)))
+        odds = np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+        strong = (k >= SUPPORT) & (odds - BOUND * np.sqrt(1 / (k + 0.5) + 1 / (seen[0] + 0.5)) >= CLEAR)
+        new = np.append(strong, False)[feature]  # -1 is none
+        if new.any():
+            marked |= new
+            own = [words[~new[words]] for words in own]
     return [
-        np.fromiter((w in marked for w in words), dtype=bool, count=len(words)) if y else np.zeros(len(words), dtype=bool)
+        np.fromiter((marked[numbers[w]] for w in words), dtype=bool, count=len(words)) if y else np.zeros(len(words), dtype=bool)
         for words, y in zip(docs, toxic.tolist(), strict=True)
     ]
 
@@ -319,9 +320,14 @@ def _gradient(sums: np.ndarray, words: np.ndarray, y: np.ndarray, lengths: np.nd
 
 
 def _evidence_of(docs: list[list[str]], chain: Chain) -> np.ndarray:
-    words = Words(chain)
-    arrays = [np.fromiter(map(words.numbers.__getitem__, d), dtype=np.int32, count=len(d)) for d in docs]
-    return _scored(arrays, words.sums(), chain)[0]
+    words, parts, held, size = Words(chain), [], [], 0
+    for k, d in enumerate(docs):
+        held.append(np.fromiter(map(words.numbers.__getitem__, d), dtype=np.int32, count=len(d)))
+        size += len(d)
+        if size >= TRAIN_WORDS or k == len(docs) - 1:
+            parts.append(_scored(held, words.sums(), chain)[0])
+            held, size = [], 0
+    return np.concatenate(parts) if parts else np.zeros((0, 4))
 
 
 def _scored(arrays: list[np.ndarray], sums: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
