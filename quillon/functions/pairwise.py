@@ -50,7 +50,11 @@ def _each(df: DataFrame, features: Features, y: np.ndarray, native: Callable[[Co
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
+    """Sums of squared differences, as in the expression for few rows of ``y``: norms less twice the product would lose digits."""
+    out = np.empty((len(x), len(y)))
+    for k, row in enumerate(y):
+        out[:, k] = ((x - row) ** 2).sum(1)
+    return out
 
 
 def euclidean_distances(df: DataFrame, features: Features, y: np.ndarray, squared: bool = False, output: str = "distances") -> DataFrame:

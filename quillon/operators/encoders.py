@@ -167,9 +167,9 @@ class OneHotEncoder(_Fitted):
 
     def fit(self, df: DataFrame) -> OneHotEncoder:
         if self.drop is not None:
-            raise NotImplementedError("drop != None is not implemented yet.")
+            raise NotImplementedError("no category can be dropped: drop must be None")
         if self.handle_unknown == "ignore":
-            raise NotImplementedError("handle_unknown='ignore' is not implemented yet.")
+            raise NotImplementedError("unknown categories are errors: handle_unknown must be 'error'")
         if self.handle_unknown != "error":
             raise ValueError(f"handle_unknown should be 'error' or 'ignore', got {self.handle_unknown}")
         self.columns_ = list(self.columns) if self.columns is not None else string_columns(df)

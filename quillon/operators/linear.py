@@ -42,7 +42,7 @@ PENALTIES = {"l1": Penalty(1.0), "l2": Penalty(0.0), "elastic_net": Penalty(0.5)
 def add_intercept(df: DataFrame, name: str = "intercept") -> DataFrame:
     """A first column of ones."""
     if name in df.columns:
-        raise ValueError(f"'{name}' column already in 'X'")
+        raise ValueError(f"the frame has a column {name!r} already")
     return df.select(F.lit(1.0).alias(name), "*")
 
 

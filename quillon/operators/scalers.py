@@ -117,7 +117,7 @@ class RobustScaler(_Columnwise):
     def fit(self, df: DataFrame) -> RobustScaler:
         low, high = self.quantile_range
         if not 0 <= low <= high <= 100:
-            raise ValueError(f"Invalid quantile range: {self.quantile_range}")
+            raise ValueError(f"quantile_range must be two percentages in ascending order, not {self.quantile_range}")
         at = [low / 100, 0.5, high / 100]
         stats = self._stats(df, {"q": lambda c: percentiles(c, at, self.accuracy)})["q"]
         q = np.array([[np.nan] * 3 if isinstance(v, float) else v for v in stats], dtype=float)
@@ -267,9 +267,9 @@ class SimpleImputer(_Columnwise):
 
     STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
-    def __init__(self, strategy: str = "mean", fill_value: object = None, columns: Sequence[str] | None = None, missing_values: object = None, add_indicator: bool = False):
+    def __init__(self, strategy: str = "mean", fill_value: object = None, columns: Sequence[str] | None = None, missing_values: object = None, add_indicator: bool = False, accuracy: int | None = None):
         self.strategy, self.fill_value, self.columns = strategy, fill_value, columns
-        self.missing_values, self.add_indicator = missing_values, add_indicator
+        self.missing_values, self.add_indicator, self.accuracy = missing_values, add_indicator, accuracy
 
     def _present(self, name: str, kind: str) -> Column:
         column = F.col(f"`{name}`")
@@ -279,7 +279,7 @@ class SimpleImputer(_Columnwise):
 
     def fit(self, df: DataFrame) -> SimpleImputer:
         if self.strategy not in self.STRATEGIES:
-            raise ValueError(f"Can only use these strategies: {self.STRATEGIES}, got strategy={self.strategy}")
+            raise ValueError(f"strategy {self.strategy!r} is none of {', '.join(self.STRATEGIES)}")
         if self.add_indicator:
             raise NotImplementedError("add_indicator")
         if self.missing_values is not None and self.strategy != "constant":
@@ -289,7 +289,15 @@ class SimpleImputer(_Columnwise):
             default = {c: "missing_value" if kinds[c] == "string" else 0 for c in names}
             self.statistics_ = [default[c] if self.fill_value is None else self.fill_value for c in names]
             return self
-        make = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(c, True)}[self.strategy]
+        if self.strategy == "most_frequent":
+            # Counted behind a shuffle, so that no task holds all values; of equals the smallest.
+            self.statistics_ = []
+            for c in names:
+                top = df.select(self._present(c, kinds[c]).alias("v")).where("v IS NOT NULL").groupBy("v").count().orderBy(F.desc("count"), "v").first()
+                self.statistics_.append(None if top is None else top["v"])
+            return self
+        median = F.median if self.accuracy is None else lambda c: F.percentile_approx(c, 0.5, self.accuracy)
+        make = {"mean": F.avg, "median": median}[self.strategy]
         row = df.agg(*[make(self._present(c, kinds[c])).alias(str(k)) for k, c in enumerate(names)]).first()
         self.statistics_ = [row[str(k)] for k in range(len(names))]
         return self

@@ -234,12 +234,14 @@ class Rounds:
         self.features, self.n_blocks, self.fit_kw = features, n_blocks, fit_kw
         self.rng = np.random.default_rng(seed)
         self.order: list[int] = []
+        self.lock = Lock()
 
     def block(self, call: int) -> int:
         """Block of a model's n-th call: independent shuffles of all blocks, one behind the other."""
-        while len(self.order) <= call:
-            self.order += self.rng.permutation(self.n_blocks).tolist()
-        return self.order[call]
+        with self.lock:  # brackets share the rounds
+            while len(self.order) <= call:
+                self.order += self.rng.permutation(self.n_blocks).tolist()
+            return self.order[call]
 
     def advance(self, models: dict[int, object], calls: dict[int, tuple[int, int]]) -> dict[int, object]:
         """Models after ``partial_fit`` number start to stop - 1; one group of rows for each model."""
@@ -286,7 +288,7 @@ class BaseIncrementalSearchCV(_Search):
 
     def _check(self) -> None:
         if self.max_iter is not None and self.max_iter < 1:
-            raise ValueError(f"Received max_iter={self.max_iter}. max_iter < 1 is not supported")
+            raise ValueError(f"max_iter must be at least 1, not {self.max_iter}")
         if self.patience and (isinstance(self.patience, bool) and not isinstance(self, HyperbandSearchCV) or isinstance(self.patience, int) and not isinstance(self.patience, bool) and self.patience < 2):
             raise ValueError("patience must be an integer of at least 2")
 

@@ -7,6 +7,7 @@ matters.  Blocks are logical (a hash of the identifier), not physical partitions
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +147,53 @@ class LeaveOneGroupOut(_Splitter):
             yield df.where(~group.eqNullSafe(F.lit(row["g"]))), df.where(group.eqNullSafe(F.lit(row["g"])))
 
 
+class LeaveOneOut(_Splitter):
+    """Each row is the test part once.  A job for each row: for frames of few rows."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def split(self, df: DataFrame) -> Iterator[Pair]:
+        yield from LeavePOut(self.key, 1).split(df)
+
+
+class LeavePOut(_Splitter):
+    """Each set of ``p`` rows is the test part once, rows told apart by ``key``.  For frames of few rows."""
+
+    def __init__(self, key: str, p: int):
+        if p < 1:
+            raise ValueError(f"p must be at least 1, not {p}")
+        self.key, self.p = key, p
+
+    def split(self, df: DataFrame) -> Iterator[Pair]:
+        key = F.col(f"`{self.key}`")
+        names = [r["k"] for r in df.select(key.alias("k")).orderBy("k").collect()]
+        if len(names) <= self.p:
+            raise ValueError(f"{len(names)} rows, more than {self.p} are needed")
+        for held in combinations(names, self.p):
+            yield df.where(~key.isin(list(held))), df.where(key.isin(list(held)))
+
+
+class LeavePGroupsOut(_Splitter):
+    """Each set of ``n_groups`` groups is the test part once."""
+
+    def __init__(self, groups: str, n_groups: int):
+        if n_groups < 1:
+            raise ValueError(f"n_groups must be at least 1, not {n_groups}")
+        self.groups, self.n_groups = groups, n_groups
+
+    def split(self, df: DataFrame) -> Iterator[Pair]:
+        group = F.col(f"`{self.groups}`")
+        names = [r["g"] for r in df.select(group.alias("g")).distinct().orderBy("g").collect()]
+        if len(names) <= self.n_groups:
+            raise ValueError(f"{len(names)} groups, more than {self.n_groups} are needed")
+        for held in combinations(names, self.n_groups):
+            inside = F.lit(False)
+            for name in held:
+                inside = inside | group.eqNullSafe(F.lit(name))
+            yield df.where(~inside), df.where(inside)
+
+
 def check_cv(cv: object = None, key: str = "id", label: str | None = None, classifier: bool = False) -> object:
     """None is 3; numbers make stratified folds for classifiers with a label, else plain ones."""
     cv = 3 if cv is None else cv
@@ -161,6 +209,10 @@ def compute_n_splits(cv: object, df: DataFrame | None = None, leave_out: int | N
     if isinstance(cv, LeaveOneGroupOut):
         groups = df.select(cv.groups).distinct().count()
         return groups if leave_out is None else comb(groups, leave_out)
+    if isinstance(cv, LeavePGroupsOut):
+        return comb(df.select(cv.groups).distinct().count(), cv.n_groups)
+    if isinstance(cv, (LeaveOneOut, LeavePOut)):
+        return comb(df.count(), getattr(cv, "p", 1))
     if hasattr(cv, "n_splits"):
         return cv.n_splits
     if isinstance(cv, Iterable):

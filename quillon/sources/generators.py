@@ -75,7 +75,7 @@ def make_regression(spark: SparkSession, n_samples: int = 100, n_features: int =
 def make_classification(spark: SparkSession, n_samples: int = 100, n_features: int = 20, n_informative: int = 2, n_classes: int = 2, scale: float = 1.0, random_state: int = 0) -> DataFrame:
     """(id, x, y): two classes with logistic odds linear in a few features."""
     if n_classes != 2:
-        raise NotImplementedError("n_classes != 2 is not yet supported.")
+        raise NotImplementedError(f"only two classes can be made, not {n_classes}")
     rng = np.random.default_rng(random_state)
     at, beta = rng.choice(n_features, n_informative, replace=False), (rng.random(n_informative) - 1) * scale
 

@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import validation
-from quillon.operators import ensemble, linear, search, text
+from quillon.functions import pairwise, validation
+from quillon.operators import ensemble, linear, search, splits, text
 from quillon.operators.base import arrow_values, clone, matrix
 from quillon.operators.encoders import FeatureUnion, Pipeline
-from quillon.operators.scalers import MinMaxScaler, StandardScaler
+from quillon.operators.scalers import MinMaxScaler, SimpleImputer, StandardScaler
+from quillon.streaming.incremental import ModelStore
 
 TEXTS = [(1, "one two two"), (1, "two three"), (None, "one one"), (2, None), (3, ""), (None, "x zzz"), (4, "three " * 3000)]
 
@@ -113,6 +114,42 @@ def test_matrices_of_rows_of_several_widths_are_refused():
         matrix(pd.Series([np.array(b) for b in bad]))
 
 
+def test_leave_out_splits(spark):
+    df = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(6)], "id long, g string")
+    for cv, n, size in ((splits.LeaveOneOut("id"), 6, 1), (splits.LeavePOut("id", 2), 15, 2), (splits.LeavePGroupsOut("g", 2), 3, 4)):
+        made = [(frozenset(r["id"] for r in a.collect()), frozenset(r["id"] for r in b.collect())) for a, b in cv.split(df)]
+        assert len(set(made)) == len(made) == n == splits.compute_n_splits(cv, df)
+        assert all(not a & b and a | b == set(range(6)) and len(b) == size for a, b in made)
+    with pytest.raises(ValueError):
+        list(splits.LeavePGroupsOut("g", 3).split(df))
+
+
+def test_distances_keep_their_digits_for_many_rows(spark):
+    """Far from the origin, and beyond the size of literals in a plan."""
+    rng = np.random.default_rng(0)
+    x = 1e6 + rng.normal(size=(20, 8)) * 1e-3
+    y = np.vstack([x, 1e6 + rng.normal(size=(pairwise.LITERAL_CELLS // 8, 8))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    for r in pairwise.euclidean_distances(df, "x", y).collect():
+        assert np.allclose(r["distances"], np.sqrt(((x[r["id"]] - y) ** 2).sum(1)), rtol=1e-9, atol=1e-12)
+
+
+def test_most_frequent_and_approximate_medians(spark):
+    df = spark.createDataFrame([(1.0, "b"), (1.0, "a"), (2.0, "b"), (2.0, "a"), (None, None), (9.0, "c")], "v double, s string")
+    assert SimpleImputer("most_frequent", columns=["v", "s"]).fit(df).statistics_ == [1.0, "a"]
+    assert SimpleImputer("median", columns=["v"], accuracy=100).fit(df).statistics_ == [2.0]
+    empty = df.where("v IS NULL")
+    assert SimpleImputer("most_frequent", columns=["v"]).fit(empty).statistics_ == [None]
+
+
+def test_model_store_keeps_the_last_versions(spark, tmp_path):
+    store = ModelStore(f"file://{tmp_path}/models")
+    assert store.load() is None
+    for k in range(4):
+        store.save(k, {"model": k})
+    assert store.versions() == [2, 3] and ModelStore(f"{tmp_path}/models").load() == (3, {"model": 3})
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 1.0, "s"), (2, [3.0, 4.0], 2.0, "t")], "id long, x array<double>, y double, s string")
     assert validation.check_array(df, "x") == 2 and validation.check_array(df, ["id", "y"]) == 2 and validation.check_x_y(df, "x", "y") == 2
