@@ -158,6 +158,31 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Numbers of components up to which products are expressions in the plan.
+PROJECT_CELLS = 1024
+
+
+def projected(df: DataFrame, features: Features, components: np.ndarray, shift: np.ndarray | None, output: str) -> DataFrame:
+    """``df`` with the products of ``project``: as an expression while they are few, else as matrices of Arrow batches."""
+    components = np.atleast_2d(components)
+    if components.size <= PROJECT_CELLS:
+        return df.withColumn(output, project(vector(features), components, shift))
+    kept = [c for c in df.columns if c != output]
+    centre = np.zeros(components.shape[1]) if shift is None else np.asarray(shift, dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(kept))
+            full = x.is_valid()
+            made = ((arrow_values(x.filter(full)) if pc.any(full).as_py() else np.zeros((0, len(centre)))) - centre) @ components.T
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), len(components)).cast(pa.list_(pa.float64()))
+            place = pc.if_else(full, pc.subtract(pc.cumulative_sum(full.cast(pa.int64())), 1), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists.take(place)], [*kept, output])
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != output], f"`{output}` array<double>"])
+    return df.select(*[f"`{c}`" for c in kept], vector(features).alias("__x")).mapInArrow(run, schema)
+
+
 def project(features: Column, components: np.ndarray, shift: np.ndarray | None = None) -> Column:
     """Array of the dot products with the rows of ``components``, behind subtracting ``shift``."""
     centred = features if shift is None else F.zip_with(features, literal(shift), lambda x, m: x - m)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.base import Estimator, Features, dot, literal, partial_sums, project, vector, width
+from quillon.operators.base import Estimator, Features, dot, literal, partial_sums, project, projected, vector, width
 
 
 def flip_signs(components: np.ndarray) -> np.ndarray:
@@ -40,6 +40,13 @@ def moments(df: DataFrame, features: Features) -> tuple[int, np.ndarray, np.ndar
 
 
 class PCA(Estimator):
+    """Principal components from the exact covariance matrix, which one pass adds up.
+
+    All of ``svd_solver``'s values give these same, exact components; ``tol``,
+    ``iterated_power`` and ``random_state`` are taken for the call's sake and
+    change nothing.
+    """
+
     def __init__(self, n_components: int | None = None, whiten: bool = False, svd_solver: str = "auto", tol: float = 0.0, iterated_power: int = 0, random_state: int | None = None):
         self.n_components, self.whiten, self.svd_solver = n_components, whiten, svd_solver
         self.tol, self.iterated_power, self.random_state = tol, iterated_power, random_state
@@ -71,15 +78,15 @@ class PCA(Estimator):
     def transform(self, df: DataFrame, output: str = "pca") -> DataFrame:
         self.check_fitted("components_")
         components = self.components_ / np.sqrt(np.maximum(self.explained_variance_, 1e-300))[:, None] if self.whiten else self.components_
-        return df.withColumn(output, project(vector(self.features_), components, self.mean_))
+        return projected(df, self.features_, components, self.mean_, output)
 
     def fit_transform(self, df: DataFrame, features: Features, output: str = "pca") -> DataFrame:
         return self.fit(df, features).transform(df, output)
 
     def inverse_transform(self, df: DataFrame, column: str = "pca", output: str = "restored") -> DataFrame:
         components = self.components_ * np.sqrt(self.explained_variance_)[:, None] if self.whiten else self.components_
-        back = project(vector(column), components.T)
-        return df.withColumn(output, F.zip_with(back, literal(self.mean_), lambda x, m: x + m))
+        out = projected(df, column, components.T, None, output)
+        return out.withColumn(output, F.zip_with(F.col(f"`{output}`"), literal(self.mean_), lambda x, m: x + m))
 
     def get_covariance(self) -> np.ndarray:
         excess = np.maximum(self.explained_variance_ - self.noise_variance_, 0)
@@ -184,10 +191,10 @@ class TruncatedSVD(Estimator):
 
     def transform(self, df: DataFrame, output: str = "svd") -> DataFrame:
         self.check_fitted("components_")
-        return df.withColumn(output, project(vector(self.features_), self.components_))
+        return projected(df, self.features_, self.components_, None, output)
 
     def fit_transform(self, df: DataFrame, features: Features, output: str = "svd") -> DataFrame:
         return self.fit(df, features).transform(df, output)
 
     def inverse_transform(self, df: DataFrame, column: str = "svd", output: str = "restored") -> DataFrame:
-        return df.withColumn(output, project(vector(column), self.components_.T))
+        return projected(df, column, self.components_.T, None, output)

@@ -68,20 +68,22 @@ def truncated_svd_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", _energy("svd").alias("energy")).select("vec_id", rounded("energy", 4))
 
 
-@query("SELECT round(avg(label % 2), 3) AS share FROM embeddings")
+@query("SELECT round(avg(label % 2), 6) AS share, true AS calibrated FROM embeddings")
 def logistic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a penalty the mean probability is the share of ones."""
     df = _vectors(spark, sf_dir).select("x", (F.col("label") % 2).cast("int").alias("y"))
     model = linear.LogisticRegression(solver="newton", tol=1e-8, max_iter=25).fit(df.select(F.slice("x", 1, 2).alias("x"), "y"), "x", "y")
-    out = model.predict_proba(df.select(F.slice("x", 1, 2).alias("x")))
-    return out.agg(F.avg(F.col("probability")[1]).alias("share")).select(rounded("share", 3))
+    out = model.predict_proba(df.select(F.slice("x", 1, 2).alias("x"), "y"))
+    gap = F.abs(F.avg(F.col("probability")[1]) - F.avg("y"))
+    return out.agg(F.avg("y").alias("share"), (gap < 1e-6).alias("calibrated")).select(rounded("share", 6), "calibrated")
 
 
-@query("SELECT round(avg(l_linenumber), 3) AS mean FROM lineitem")
+@query("SELECT round(avg(l_linenumber), 6) AS mean, true AS calibrated FROM lineitem")
 def poisson_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), "l_discount", F.col("l_linenumber").cast("double").alias("y"))
     model = linear.PoissonRegression(solver="newton", tol=1e-8, max_iter=25).fit(df, ["q", "l_discount"], "y")
-    return model.predict(df).agg(F.avg("prediction").alias("mean")).select(rounded("mean", 3))
+    gap = F.abs(F.avg("prediction") - F.avg("y"))
+    return model.predict(df).agg(F.avg("y").alias("mean"), (gap < 1e-6).alias("calibrated")).select(rounded("mean", 6), "calibrated")
 
 
 _NB = ", ".join(f"avg(CAST(embedding[{k}] AS DOUBLE)) AS m{k}, var_pop(CAST(embedding[{k}] AS DOUBLE)) AS v{k}" for k in range(1, DIMS + 1))
