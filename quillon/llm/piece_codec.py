@@ -12,9 +12,10 @@ a prefix of known pieces have no or several candidates (pieces of equal score
 can do that), the chunk is merged plainly, so the result is always the library's.
 
 A text is cut where no merge can cross: before a space that follows a
-non-space, since no piece holds a space after another character, and around
-characters of no piece, which become bytes.  Distinct chunks are encoded once
-for each task and cached up to a bound.
+non-space, since no piece holds a space after another character, around
+characters of no piece, which become bytes, and between a word's letters and a
+punctuation mark that no piece holds behind a letter.  Distinct chunks are encoded
+once for each task and cached up to a bound.
 
 Defined results: null and empty texts have no pieces, only the end id; the
 text's length does not matter, chunks are joined as they come (a chunk itself
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,8 @@ from quillon.llm.common import per_text, table, utf8
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Letters at whose end a word may be cut.
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Chunks whose encodings a task keeps: seen again, seen once.
 CACHE, FRESH = 250_000, 150_000
 #: Longer chunks are not cached.
@@ -76,13 +80,20 @@ class PieceCodec:
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        odd = "".join(sorted({c for c in "\n\t\r" if c not in self.known}))
-        # A chunk: spaces with what follows, or one of the usual characters of no piece.
-        self.chunks = re.compile(f"[{re.escape(odd)}]|{SPACE}*[^{SPACE}{re.escape(odd)}]+|{SPACE}+") if odd else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        odd = re.escape("".join(sorted({c for c in "\n\t\r" if c not in self.known})))
+        marks = re.escape("".join(sorted(self._marks())))
+        # A chunk: spaces with the letters up to a mark, or with what follows; or one of the usual characters of no piece.
+        kinds = [f"{SPACE}*{LETTER}++(?=[{marks}])"] if marks else []
+        kinds += [f"{SPACE}*[^{SPACE}{odd}]+", *([f"[{odd}]"] if odd else []), f"{SPACE}+"]
+        self.chunks = re.compile("|".join(kinds))
         # Chunks seen again, and chunks seen once.
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.fresh: dict[str, tuple[int, bytes, bytes]] = {}
 
+    def _marks(self) -> set[str]:
+        """Punctuation marks that no piece holds behind a letter."""
+        return set(string.punctuation) - {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if re.fullmatch(LETTER, a)}
+
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, the leftmost of equals."""
         parts, score = list(text), self.score
@@ -158,6 +169,9 @@ class PieceCodec:
         return ids
 
     def _chunk_ids(self, chunk: str) -> list[int]:
+        if self.known.issuperset(chunk):
+            found = self._table(chunk)
+            return found if found is not None else [self.ids[p] for p in self.merge(chunk)]
         ids: list[int] = []
         start = 0
         for k in [k for k, c in enumerate(chunk) if c not in self.known] + [len(chunk)]:
@@ -180,7 +194,9 @@ class PieceCodec:
                 self.cache[chunk] = found
                 return found
             ids = self._chunk_ids(chunk)
-            found = len(ids), " ".join(map(str, ids)).encode(), utf8(self._decoded(ids))
+            # Pieces of known characters are the chunk itself.
+            text = chunk.replace(SPACE, " ") if self.known.issuperset(chunk) else self._decoded(ids)
+            found = len(ids), " ".join(map(str, ids)).encode(), utf8(text)
             if len(chunk) <= CACHED_CHARS:
                 if len(self.fresh) >= FRESH:
                     self.fresh.clear()
@@ -217,8 +233,8 @@ class PieceCodec:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), chunk by chunk.
 
-        A chunk starts with a space or holds only whole characters, so that
-        decoding chunk by chunk equals decoding all ids.
+        A chunk holds only whole characters, so that decoding chunk by chunk
+        equals decoding all ids.
         """
         n, decoded, ids = 1, hashlib.sha256(), hashlib.sha256()
         found = list(map(self.chunk, self.split(text)))
