@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import resample
+from quillon.llm import common, resample
 from quillon.llm.common import table
 
 
@@ -85,7 +85,10 @@ def test_gumbel_noise_is_standard(spark):
     assert abs(got.mean() - 0.5772) < 0.04 and abs(got.var() - math.pi**2 / 6) < 0.1
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffle"])
+def test_odd_rows(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     schema = "doc_id long, text string, good boolean, perturbed double"
     docs = spark.createDataFrame([(1, None, True, 0.0), (2, "", None, 0.0), (None, "a b", True, 0.0), (3, "x " * 50_000, True, 0.0), (3, "x " * 50_000, True, 0.0)], schema)
     none = spark.createDataFrame([], "doc_id long, quality int, text string")

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import warc
+from quillon.llm import common, warc
 from quillon.llm.common import get_bytes, put_bytes, fresh_dir
 
 
@@ -166,7 +166,10 @@ def brute(rows: list[tuple]) -> list[tuple]:
     return sorted(out, key=repr)
 
 
-def test_odd_pages(spark):
+@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffle"])
+def test_odd_pages(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     long = "é" * 60
     rows = [
         (5, "http://a/", long), (3, "http://b/\r\nX: y", long), (None, None, long), (3, "http://b2/", long), (9, "http://c/", "short"),
