@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.quantiles import distinct_sizes, exact_percentiles
 from quillon.operators.base import Estimator, numeric_columns, replaced, value
 
 
@@ -38,6 +39,16 @@ class _Columnwise(Estimator):
         self.n_samples_seen_ = row["n"]
         return {s: np.array([np.nan if row[f"{s}{k}"] is None else row[f"{s}{k}"] for k in range(len(names))], dtype=object) for s in makers}
 
+    def _percentiles(self, df: DataFrame, at: Sequence[float], accuracy: int | None) -> np.ndarray:
+        """Columns by percentiles, NaN for columns without values."""
+        if accuracy is None:
+            sizes = self._stats(df, {"d": F.approx_count_distinct})["d"]
+            stats = exact_percentiles(df, list(map(value, self.feature_names_in_)), at, int(sizes.sum()))
+        else:
+            points = F.array(*[F.lit(float(p)) for p in at])
+            stats = self._stats(df, {"q": lambda c: F.percentile_approx(c, points, accuracy)})["q"]
+        return np.array([v if isinstance(v, list) else np.full(len(at), np.nan) for v in stats], dtype=float)
+
     def _map(self, df: DataFrame, one: Callable[[Column, int], Column]) -> DataFrame:
         return replaced(df, {c: one(value(c), k) for k, c in enumerate(self.feature_names_in_)})
 
@@ -106,8 +117,8 @@ class MinMaxScaler(_Columnwise):
 class RobustScaler(_Columnwise):
     """Median to zero, range between two percentiles to one.
 
-    ``accuracy`` None computes exact percentiles; a number asks for
-    ``percentile_approx`` of that accuracy, which needs bounded memory.
+    ``accuracy`` None computes exact percentiles, by ranks over ranges of values
+    where a column has many; a number asks for ``percentile_approx`` of that accuracy.
     """
 
     def __init__(self, with_centering: bool = True, with_scaling: bool = True, quantile_range: tuple[float, float] = (25.0, 75.0), columns: Sequence[str] | None = None, accuracy: int | None = None):
@@ -118,9 +129,7 @@ class RobustScaler(_Columnwise):
         low, high = self.quantile_range
         if not 0 <= low <= high <= 100:
             raise ValueError(f"quantile_range must be two percentages in ascending order, not {self.quantile_range}")
-        at = [low / 100, 0.5, high / 100]
-        stats = self._stats(df, {"q": lambda c: percentiles(c, at, self.accuracy)})["q"]
-        q = np.array([[np.nan] * 3 if isinstance(v, float) else v for v in stats], dtype=float)
+        q = self._percentiles(df, [low / 100, 0.5, high / 100], self.accuracy)
         self.center_, self.scale_ = q[:, 1], nonzero_scale(q[:, 2] - q[:, 0])
         return self
 
@@ -136,11 +145,6 @@ class RobustScaler(_Columnwise):
         return self._map(df, lambda x, k: x * float(scale[k]) + float(shift[k]))
 
 
-def percentiles(column: Column, at: Sequence[float], accuracy: int | None = None) -> Column:
-    points = F.array(*[F.lit(float(p)) for p in at])
-    return F.percentile(column, points) if accuracy is None else F.percentile_approx(column, points, accuracy)
-
-
 class QuantileTransformer(_Columnwise):
     """Maps each column to a uniform or normal distribution through its quantiles."""
 
@@ -153,8 +157,7 @@ class QuantileTransformer(_Columnwise):
         if self.output_distribution not in ("uniform", "normal"):
             raise ValueError(f"unknown output distribution {self.output_distribution!r}")
         self.references_ = np.linspace(0, 1, self.n_quantiles)
-        stats = self._stats(df, {"q": lambda c: percentiles(c, self.references_, self.accuracy)})["q"]
-        self.quantiles_ = np.array([np.full(self.n_quantiles, np.nan) if isinstance(v, float) else v for v in stats], dtype=float).T
+        self.quantiles_ = self._percentiles(df, self.references_, self.accuracy).T
         return self
 
     def _apply(self, df: DataFrame, inverse: bool) -> DataFrame:
@@ -296,9 +299,13 @@ class SimpleImputer(_Columnwise):
                 top = df.select(self._present(c, kinds[c]).alias("v")).where("v IS NOT NULL").groupBy("v").count().orderBy(F.desc("count"), "v").first()
                 self.statistics_.append(None if top is None else top["v"])
             return self
-        median = F.median if self.accuracy is None else lambda c: F.percentile_approx(c, 0.5, self.accuracy)
-        make = {"mean": F.avg, "median": median}[self.strategy]
-        row = df.agg(*[make(self._present(c, kinds[c])).alias(str(k)) for k, c in enumerate(names)]).first()
+        present = [self._present(c, kinds[c]) for c in names]
+        if self.strategy == "median" and self.accuracy is None:
+            found = exact_percentiles(df, present, [0.5], distinct_sizes(df, present))
+            self.statistics_ = [None if v is None else v[0] for v in found]
+            return self
+        make = F.avg if self.strategy == "mean" else lambda c: F.percentile_approx(c, 0.5, self.accuracy)
+        row = df.agg(*[make(c).alias(str(k)) for k, c in enumerate(present)]).first()
         self.statistics_ = [row[str(k)] for k in range(len(names))]
         return self
 
