@@ -1,7 +1,7 @@
 """Categories, labels and composition of transformers.
 
 Categories are part of the fitted encoder, sorted, and looked up by a map
-literal while they are few, by a broadcast join of the fitted table beyond that.
+literal while they are few, by a join with the fitted table beyond that.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from quillon.operators.scalers import PolynomialFeatures
 LITERAL = 1000
 #: Categories of one column that may be brought to the driver.
 MAX_CATEGORIES = 5_000_000
+#: Bytes of categories up to which a join sends them to every task.
+BROADCAST_BYTES = 64 << 20
 
 
 def distinct_sorted(df: DataFrame, name: str) -> list:
@@ -29,6 +31,18 @@ def distinct_sorted(df: DataFrame, name: str) -> list:
     return sorted(r["v"] for r in values)
 
 
+def looked_up(df: DataFrame, name: str, table: DataFrame, key: str, categories: Sequence) -> DataFrame:
+    """Left join with a table of categories, each once: a broadcast while their measured size allows.
+
+    Beyond that both sides are shuffled; hot and missing values of ``df`` are then
+    for adaptive execution to split, as the table has one row for each.
+    """
+    size = sum(16 + (len(c.encode("utf-8", "surrogatepass")) if isinstance(c, str) else 16) for c in categories)
+    if size <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return df.join(table, F.col(f"`{name}`") == F.col(f"`{key}`"), "left")
+
+
 def coded(df: DataFrame, names: dict[str, Sequence], unknown: str = "null") -> DataFrame:
     """Columns replaced by codes (int) of their categories.
 
@@ -43,7 +57,7 @@ def coded(df: DataFrame, names: dict[str, Sequence], unknown: str = "null") -> D
                 code = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(categories) for x in (c, k)]), column)
         else:
             table = df.sparkSession.createDataFrame([(c, k) for k, c in enumerate(categories)], f"`v_{name}` {dict(df.dtypes)[name]}, `k_{name}` int")
-            df = df.join(F.broadcast(table), column == F.col(f"`v_{name}`"), "left").drop(f"v_{name}")  # bounded by MAX_CATEGORIES
+            df = looked_up(df, name, table, f"v_{name}", categories).drop(f"v_{name}")
             code = F.col(f"`k_{name}`")
         if unknown == "error":
             seen = F.concat(F.lit(f"Found unknown category in column {name}: "), column.cast("string"))
@@ -89,7 +103,7 @@ class Categorizer(_Fitted):
                 # Each category once, so that the join repeats no row.
                 kept = [(c,) for c in dict.fromkeys(categories) if c is not None]
                 table = df.sparkSession.createDataFrame(kept, f"`__known_{k}` {dict(df.dtypes)[name]}")
-                df = df.join(F.broadcast(table), column == F.col(f"__known_{k}"), "left")  # bounded by MAX_CATEGORIES
+                df = looked_up(df, name, table, f"__known_{k}", categories)
                 known = F.col(f"__known_{k}").isNotNull()
             new[name] = F.when(known, column)
         return replaced(df, new).select(*[F.col(f"`{c}`") for c in names])

@@ -160,11 +160,16 @@ def test_onehot_and_label_encoders(categories, spark):
         E.OneHotEncoder(["A"], categories=[["b", "a", "c"]]).fit(categories)
 
 
-def test_many_categories_use_a_join(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, E.BROADCAST_BYTES])
+def test_many_categories_use_a_join(spark, monkeypatch, limit):
     monkeypatch.setattr(E, "LITERAL", 3)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", limit)
     df = spark.createDataFrame([(k, f"v{k % 7}") for k in range(20)] + [(99, None)], "id long, A string")
-    got = {r["id"]: r["A"] for r in E.OrdinalEncoder(["A"]).fit_transform(df).collect()}
-    assert got == {k: k % 7 for k in range(20)} | {99: -1}
+    made = E.OrdinalEncoder(["A"]).fit_transform(df)
+    assert ("strategy=broadcast" in made._jdf.queryExecution().optimizedPlan().toString()) == bool(limit)
+    assert {r["id"]: r["A"] for r in made.collect()} == {k: k % 7 for k in range(20)} | {99: -1}
+    known = E.Categorizer({"A": [f"v{k}" for k in range(5)]}).fit(df).transform(df)
+    assert {r["id"]: r["A"] for r in known.collect()} == {k: f"v{k % 7}" if k % 7 < 5 else None for k in range(20)} | {99: None}
 
 
 def test_column_transformer(categories):
