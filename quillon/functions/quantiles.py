@@ -1,7 +1,7 @@
 """Exact percentiles of columns of any number of distinct values.
 
-While the columns have few distinct values, as a sketch of them tells, one
-aggregation holds them.  Beyond that no task holds a column: values are counted
+While the columns have few distinct values, as a sketch of them tells, and few
+percentiles are asked for, one aggregation holds them.  Beyond that no task holds a column: values are counted
 before the shuffle (copies collapse to one row), dealt to ranges of their column
 and summed by range; then the ranges that hold a wanted rank are sorted.  Both ways
 give the same numbers.  Ranges depend on values alone, so a recomputed task deals
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Distinct values of all columns together that one aggregation may hold.
 HELD_VALUES = 1_000_000
+#: Percentiles that one aggregation is asked for; its time grows faster than their number.
+HELD_POINTS = 1_000
 
 
 def distinct_sizes(df: DataFrame, columns: Sequence[Column]) -> int:
@@ -35,8 +37,8 @@ def exact_percentiles(df: DataFrame, columns: Sequence[Column], at: Sequence[flo
     """
     if distinct is None:
         distinct = distinct_sizes(df, columns)
-    if distinct <= HELD_VALUES:
-        points = F.array(*[F.lit(float(p)) for p in at])
+    if distinct <= HELD_VALUES and len(at) <= HELD_POINTS:
+        points = F.split(F.lit(",".join(repr(float(p)) for p in at)), ",").cast("array<double>")  # one literal, however many
         return list(df.agg(*[F.percentile(c.cast("double"), points).alias(str(k)) for k, c in enumerate(columns)]).first())
     cells = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), c.cast("double").alias("v")) for k, c in enumerate(columns)])).alias("c")
     counts = df.select(cells).select("c.k", "c.v").where("v IS NOT NULL").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).persist()
