@@ -126,6 +126,50 @@ def arrow_values(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), size).astype(float, copy=False)
 
 
+#: Numbers of features that a learner gets in one call at most, and the step of the rows of such a call.
+CALL_CELLS, CALL_STEP = 1 << 22, 64
+
+
+def pieces(batches: Iterator[pa.RecordBatch], names: Sequence[str], cells: int = CALL_CELLS) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(values of ``names``, matrix of ``x``, ``y``) of each run of rows with equal ``names``.
+
+    A long run comes in several pieces of about ``cells`` features.  All but
+    its last have a multiple of ``CALL_STEP`` rows, so that a learner that goes
+    through mini-batches of that size takes the steps it takes on the whole run.
+    """
+    key, xs, ys, held = (), [], [], 0
+
+    def made() -> tuple[tuple, np.ndarray, np.ndarray]:
+        out = key, np.concatenate(xs), np.concatenate(ys)
+        xs.clear()
+        ys.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = arrow_values(batch.column("x")), batch.column("y").to_pandas().to_numpy()
+        ids = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        edges = (np.flatnonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0)) + 1).tolist()
+        most = max(1, cells // max(1, x.shape[1]) // CALL_STEP) * CALL_STEP
+        for at, stop in zip([0, *edges], [*edges, len(y)], strict=True):
+            new = tuple(v[at].item() for v in ids)
+            if xs and new != key:
+                yield made()
+                held = 0
+            key = new
+            while at < stop:
+                take = min(stop - at, most - held)
+                xs.append(x[at : at + take])
+                ys.append(y[at : at + take])
+                at, held = at + take, held + take
+                if held == most:
+                    yield made()
+                    held = 0
+    if xs:
+        yield made()
+
+
 def partial_sums(df: DataFrame, columns: Sequence[Column], compute: Callable[..., np.ndarray], size: int) -> np.ndarray:
     """Sum over all rows of a vector of ``size`` sums that ``compute`` makes of a batch.
 

@@ -20,11 +20,12 @@ from threading import Lock
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.metrics import check_scoring
-from quillon.operators.base import Estimator, Features, clone, matrix, vector
+from quillon.operators.base import CALL_CELLS, Estimator, Features, clone, matrix, pieces, vector
 from quillon.operators.encoders import Pipeline
 from quillon.operators.ensemble import ParallelPostFit, block_of, copy_learned
 from quillon.operators.splits import check_cv, uniform
@@ -227,6 +228,8 @@ Info = dict[int, list[dict]]
 class Rounds:
     """Training and scoring of many learners over the blocks of a frame."""
 
+    cells = CALL_CELLS
+
     def __init__(self, df: DataFrame, features: Features, label: str, key: str, n_blocks: int, test_size: float, seed: int, fit_kw: dict):
         rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").alias("y"), F.col(f"`{key}`").alias("k"), block_of(key, n_blocks).alias("block"))
         held = uniform("k", seed) < test_size
@@ -244,23 +247,32 @@ class Rounds:
             return self.order[call]
 
     def advance(self, models: dict[int, object], calls: dict[int, tuple[int, int]]) -> dict[int, object]:
-        """Models after ``partial_fit`` number start to stop - 1; one group of rows for each model."""
-        spark, fit_kw = self.train.sparkSession, self.fit_kw
+        """Models after ``partial_fit`` number start to stop - 1.
+
+        The rows of a model lie in one task, sorted, and stream through it: it
+        holds one piece of a block, and a larger block is several calls.
+        """
+        spark, fit_kw, cells = self.train.sparkSession, self.fit_kw, self.cells
         steps = [(m, c, self.block(c)) for m, (start, stop) in calls.items() for c in range(start, stop)]
         if not steps:
             return models
         state = spark.sparkContext.broadcast({m: pickle.dumps(models[m]) for m in calls})
         plan = spark.createDataFrame(steps, "model int, call int, block int")
 
-        def train(rows: pd.DataFrame) -> pd.DataFrame:
-            m = int(rows["model"].iloc[0])
-            model = pickle.loads(state.value[m])
-            for _, part in rows.sort_values(["call", "k"]).groupby("call", sort=True):
-                model.partial_fit(matrix(part["x"]), part["y"].to_numpy(), **fit_kw)
-            return pd.DataFrame({"model": [m], "state": [pickle.dumps(model)]})
-
-        joined = self.train.join(F.broadcast(plan), "block")  # as many rows as calls
-        made = joined.groupBy("model").applyInPandas(train, "model int, state binary").collect()
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = lambda m, model: pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["model", "state"])
+            last, model = None, None
+            for (m, _), x, y in pieces(batches, ("model", "call"), cells):
+                if m != last:
+                    if last is not None:
+                        yield done(last, model)
+                    last, model = m, pickle.loads(state.value[m])
+                model.partial_fit(x, y, **fit_kw)
+            if last is not None:
+                yield done(last, model)
+
+        joined = self.train.join(F.broadcast(plan), "block").repartition("model")  # as many rows as calls
+        made = joined.sortWithinPartitions("model", "call", F.col("k").asc_nulls_last()).select("model", "call", "x", "y").mapInArrow(train, "model int, state binary").collect()
         return models | {r["model"]: pickle.loads(bytes(r["state"])) for r in made}
 
     def scores(self, models: dict[int, object], scoring: object) -> dict[int, float]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import pairwise, validation
 from quillon.operators import ensemble, linear, search, splits, text
-from quillon.operators.base import arrow_values, clone, matrix
+from quillon.operators.base import Estimator, arrow_values, clone, matrix
 from quillon.operators.encoders import FeatureUnion, Pipeline
+from quillon.operators.learners import SGDClassifier
 from quillon.operators.scalers import MinMaxScaler, SimpleImputer, StandardScaler
 from quillon.streaming.incremental import ModelStore
 
@@ -177,3 +178,37 @@ def test_validation(spark):
     with validation.timer("step", sink=took):
         pass
     assert took[0][0] == "step" and validation.num_rows(df) == 2 == validation.num_rows([1, 2])
+
+
+class Watched(Estimator):
+    """Keeps the number of rows of each call and what tells their order."""
+
+    def __init__(self, value: float = 0.0):
+        self.value = value
+
+    @staticmethod
+    def mark(ids):
+        return (len(ids), sum(k * int(v) for k, v in enumerate(ids)), sum(int(v) % 3 for v in ids))
+
+    def partial_fit(self, x, y):
+        assert (x[:, 0] % 3 == y).all()
+        self.calls_ = [*getattr(self, "calls_", []), self.mark(x[:, 0])]
+        return self
+
+
+def test_rounds_stream_blocks_in_order_and_hold_a_piece(spark):
+    rows = spark.range(1000).select("id", F.array(F.col("id").cast("float"), F.lit(1.0)).alias("x"), (F.col("id") % 3).cast("int").alias("y"))
+    rounds = search.Rounds(rows, "x", "y", "id", 2, 0.0, 0, {})
+    blocks = [sorted(r["id"] for r in rows.where(ensemble.block_of("id", 2) == b).select("id").collect()) for b in (0, 1)]
+    whole = rounds.advance({0: Watched(), 1: Watched()}, {0: (0, 3), 1: (1, 2)})
+    assert whole[0].calls_ == [Watched.mark(blocks[rounds.block(c)]) for c in range(3)] and whole[1].calls_ == whole[0].calls_[1:2]
+    rounds.fit_kw["classes"] = [0, 1, 2]
+    one = rounds.advance({0: SGDClassifier()}, {0: (0, 3)})[0]
+    rounds.cells = 2 * 150
+    cut = rounds.advance({0: SGDClassifier()}, {0: (0, 3)})[0]
+    assert np.array_equal(one.coef_, cut.coef_) and one.t_ == cut.t_ > 0
+    rounds.fit_kw.clear()
+    parts = rounds.advance({0: Watched()}, {0: (0, 3)})[0].calls_
+    want = [Watched.mark(blocks[rounds.block(c)][k : k + 128]) for c in range(3) for k in range(0, len(blocks[rounds.block(c)]), 128)]
+    assert parts == want and len(parts) > 9
+    rounds.close()
