@@ -84,13 +84,13 @@ class CountVectorizer(Estimator):
     def transform(self, df: DataFrame, output: str = "counts") -> DataFrame:
         """(key, sparse counts) for every row; a row without known terms is empty."""
         self.check_fitted("vocabulary_")
-        known, binary = df.sparkSession.sparkContext.broadcast(self.vocabulary_), self.binary
+        known, binary, most = df.sparkSession.sparkContext.broadcast(self.vocabulary_), self.binary, SLICE_TERMS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary = known.value
-            for batch in batches:
+            for batch in _slices(batches, 1, most):
                 names, term, row = _flat_terms(batch.column(1))
-                index = np.fromiter((vocabulary.get(t, -1) for t in names), dtype=np.int64, count=len(names))[term]
+                index = np.fromiter((vocabulary.get(t, -1) for t in names.to_pylist()), dtype=np.int64, count=len(names))[term]
                 row, index = row[index >= 0], index[index >= 0]
                 at, counts = np.unique(row * len(vocabulary) + index, return_counts=True)
                 values = np.ones(len(at)) if binary else counts.astype(float)
@@ -128,11 +128,70 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def _flat_terms(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+#: Bytes up to which terms are hashed side by side.
+LONG_TERM = 256
+
+
+def murmur3_each(terms: pa.Array) -> np.ndarray:
+    """``murmur3`` of each string of an array, as 64-bit integers."""
+    terms = terms.cast(pa.large_binary())
+    if not len(terms):
+        return np.zeros(0, dtype=np.int64)
+    _, ends, data = terms.buffers()
+    ends = np.frombuffer(ends, np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size = np.diff(ends)
+    order = np.argsort(-size, kind="stable")  # long ones first, so that those with a further block are a head
+    order, apart = order[size[order] <= LONG_TERM], order[size[order] > LONG_TERM]
+    start, length = ends[:-1][order], size[order]
+    out = np.zeros(len(size), dtype=np.int64)
+    for k in apart.tolist():
+        out[k] = murmur3(data[ends[k] : ends[k + 1]].tobytes())
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    h = np.zeros(len(order), dtype=np.uint32)
+    for block in range(int(length[0]) // 4 if len(length) else 0):
+        n = int(np.searchsorted(-length, -4 * (block + 1), side="right"))
+        at = start[:n] + 4 * block
+        word = sum(data[at + j].astype(np.uint32) << np.uint32(8 * j) for j in range(4))
+        head = h[:n] ^ mixed(word)
+        h[:n] = (head << np.uint32(13) | head >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    tail, rest = np.zeros(len(order), dtype=np.uint32), length % 4
+    for j in range(3):
+        has = np.flatnonzero(rest > j)
+        tail[has] |= data[start[has] + length[has] // 4 * 4 + j].astype(np.uint32) << np.uint32(8 * j)
+    h ^= mixed(tail)  # nothing where there is no tail
+    h ^= length.astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    out[order] = h.view(np.int32)
+    return out
+
+
+#: Terms of the rows that are worked on at once; a row with more is alone.
+SLICE_TERMS = 1 << 18
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows whose lists in ``column`` have at most ``most`` values together."""
+    for batch in batches:
+        ends = np.cumsum(np.nan_to_num(pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at, before = stop, int(ends[stop - 1])
+
+
+def _flat_terms(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct terms, number of each occurrence's term, its row) of a column of arrays."""
     terms = lists.flatten().dictionary_encode()
     sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-    return terms.dictionary.to_pylist(), terms.indices.to_numpy(), np.repeat(np.arange(len(lists)), sizes)
+    return terms.dictionary, terms.indices.to_numpy(), np.repeat(np.arange(len(lists)), sizes)
 
 
 def _sparse(rows: int, size: int, row: np.ndarray, index: np.ndarray, values: np.ndarray) -> pa.StructArray:
@@ -142,32 +201,18 @@ def _sparse(rows: int, size: int, row: np.ndarray, index: np.ndarray, values: np
     return pa.StructArray.from_arrays([pa.array(np.full(rows, size), pa.int32()), *parts], ["size", "indices", "values"])
 
 
-#: Terms whose places a task keeps.
-KNOWN_TERMS = 500_000
-
-
 class _Hasher(Estimator):
     def _hashed(self, df: DataFrame, terms: Column, amounts: Column | None, output: str, norm: str | None) -> DataFrame:
         """Arrays of names, and of their values if those aren't all 1."""
-        size, signed, binary = self.n_features, self.alternate_sign, getattr(self, "binary", False)
+        size, signed, binary, most = self.n_features, self.alternate_sign, getattr(self, "binary", False), SLICE_TERMS
         kept, weighted = [c for c in df.columns if c != output], amounts is not None
         extra = [terms.alias("__terms"), *([] if amounts is None else [amounts.alias("__amounts")])]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, tuple[int, int]] = {}
-
-            def place(term: str) -> tuple[int, int]:
-                found = known.get(term)
-                if found is None:
-                    h = murmur3(term.encode("utf-8", "surrogatepass"))
-                    found = known[term] = (abs(h) % size, -1 if signed and h < 0 else 1)
-                return found
-
-            for batch in batches:
-                if len(known) > KNOWN_TERMS:
-                    known.clear()
+            for batch in _slices(batches, len(kept), most):
                 names, term, row = _flat_terms(batch.column(len(kept)))
-                at, sign = np.array([place(t) for t in names], dtype=np.int64).reshape(-1, 2).T
+                place = murmur3_each(names)
+                at, sign = np.abs(place) % size, np.where(signed & (place < 0), -1, 1)
                 amount = sign[term].astype(float)
                 if weighted:
                     amount = amount * batch.column(len(kept) + 1).flatten().to_numpy(zero_copy_only=False)

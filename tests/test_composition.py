@@ -212,3 +212,24 @@ def test_rounds_stream_blocks_in_order_and_hold_a_piece(spark):
     want = [Watched.mark(blocks[rounds.block(c)][k : k + 128]) for c in range(3) for k in range(0, len(blocks[rounds.block(c)]), 128)]
     assert parts == want and len(parts) > 9
     rounds.close()
+
+
+def test_terms_are_hashed_side_by_side():
+    import pyarrow as pa
+
+    terms = ["", "a", "ab", "abc", "abcd", "żółw", "語語語", "x" * 255, "x" * 256, "y" * 257, "z" * 1001, *[str(k) * (k % 9) for k in range(500)]]
+    want = [text.murmur3(t.encode()) for t in terms]
+    assert min(want) < 0 < max(want) and text.murmur3_each(pa.array(terms)).tolist() == want
+    assert text.murmur3_each(pa.array(terms).slice(3, 6)).tolist() == want[3:9] and text.murmur3_each(pa.array([], pa.string())).tolist() == []
+
+
+def test_vectorisers_work_on_slices_of_bounded_terms(spark, monkeypatch):
+    import pyarrow as pa
+
+    lists = pa.array([["a"] * n for n in (3, 0, 4, 9, 1)] + [None])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], ["k", "t"])
+    assert [s.column(0).to_pylist() for s in text._slices(iter([batch]), 1, 5)] == [[0, 1], [2], [3], [4, 5]]
+    assert [s.column(0).to_pylist() for s in text._slices(iter([batch]), 1, 100)] == [[0, 1, 2, 3, 4, 5]]
+    made = [m.transform(frame(spark)).collect() for m in (text.HashingVectorizer(n_features=8), text.CountVectorizer().fit(frame(spark)))]
+    monkeypatch.setattr(text, "SLICE_TERMS", 4)
+    assert made == [m.transform(frame(spark)).collect() for m in (text.HashingVectorizer(n_features=8), text.CountVectorizer().fit(frame(spark)))]
