@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions.metrics import accuracy_score, get_scorer, r2_score
-from quillon.operators.base import Estimator, Features, clone, matrix, vector
+from quillon.operators.base import CALL_CELLS, Estimator, Features, arrow_values, clone, matrix, pieces, vector
 
 
 #: Rows that one call of ``partial_fit`` gets at most.
@@ -41,14 +43,20 @@ def apply_model(df: DataFrame, features: Features, call: Callable[[np.ndarray],
     rows = df.withColumn("__x", vector(features))
     kept = [c for c in df.columns if c != output]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    target = to_arrow_type(T.DataType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                made = np.asarray(call(matrix(batch["__x"])))
-                yield batch[kept].assign(**{output: list(made) if made.ndim == 2 else made})
+            if batch.num_rows:
+                made = np.asarray(call(np.array(arrow_values(batch.column(len(kept))))))
+                if made.ndim == 2 and made.shape[1]:
+                    values = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1])
+                else:
+                    values = pa.array(list(made) if made.ndim == 2 else made, from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], values.cast(target)], [*kept, output])
 
     schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != output], f"`{output}` {kind}"])
-    return rows.select(*[f"`{c}`" for c in kept], "__x").mapInPandas(run, schema)
+    return rows.select(*[f"`{c}`" for c in kept], "__x").mapInArrow(run, schema)
 
 
 def copy_learned(source: object, target: object) -> None:
@@ -166,18 +174,32 @@ class Incremental(ParallelPostFit):
 
 
 class _Blockwise(Estimator):
-    """One learner for each block, trained where the block's rows meet."""
+    """One learner for each block, trained where the block's rows meet.
 
-    def fit(self, df: DataFrame, features: Features, label: str) -> _Blockwise:
-        state = pickle.dumps(self.estimator)
+    A learner with ``additive`` gets a block in pieces, and the task holds one of
+    them; any other is given the block whole, as one matrix.
+    """
 
-        def train(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("k")
-            model = clone(pickle.loads(state)).fit(matrix(rows["x"]), rows["y"].to_numpy())
-            return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "model": [pickle.dumps(model)]})
+    cells = CALL_CELLS
+
+    def fit(self, df: DataFrame, features: Features, label: str) -> _Blockwise:
+        state, cells = pickle.dumps(self.estimator), self.cells
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, parts in groupby(pieces(batches, ("block",), cells), lambda p: p[0][0]):
+                model = clone(pickle.loads(state))
+                if getattr(model, "additive", False):
+                    for _, x, y in parts:
+                        model.partial_fit(x, y)
+                else:
+                    x, y = map(list, zip(*[p[1:] for p in parts], strict=True))
+                    x, y = (v[0] if len(v) == 1 else np.concatenate(v) for v in (x, y))
+                    model = model.fit(x, y)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["block", "model"])
 
         rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").alias("y"), block_of(self.key, self.n_blocks).alias("block"), F.col(f"`{self.key}`").alias("k"))
-        found = rows.groupBy("block").applyInPandas(train, "block int, model binary").orderBy("block").collect()  # n_blocks models
+        rows = rows.repartition("block").sortWithinPartitions("block", F.col("k").asc_nulls_last()).select("block", "x", "y")
+        found = rows.mapInArrow(train, "block int, model binary").orderBy("block").collect()  # n_blocks models
         self.estimators_ = [pickle.loads(bytes(r["model"])) for r in found]
         self.features_ = features
         return self

@@ -12,6 +12,10 @@ import numpy as np
 from quillon.operators.base import Estimator
 
 
+#: Mini-batches whose rows ``SGDClassifier.fit`` puts in order at once.
+FIT_BATCHES = 256
+
+
 class _Learner(Estimator):
     def _begin(self, x: np.ndarray, outputs: int) -> None:
         if not hasattr(self, "coef_"):
@@ -47,10 +51,12 @@ class SGDClassifier(_Learner):
     def fit(self, x: np.ndarray, y: np.ndarray) -> SGDClassifier:
         for name in ("coef_", "classes_"):
             vars(self).pop(name, None)
-        rng = np.random.default_rng(self.random_state)
+        rng, classes = np.random.default_rng(self.random_state), np.unique(y)
         for _ in range(self.max_iter):
             order = rng.permutation(len(x))
-            self.partial_fit(x[order], y[order], classes=np.unique(y))
+            for at in range(0, max(1, len(x)), FIT_BATCHES * self.batch):  # whole mini-batches: the same steps without a copy of all rows
+                part = order[at : at + FIT_BATCHES * self.batch]
+                self.partial_fit(x[part], y[part], classes=classes)
         return self
 
     def _softmax(self, x: np.ndarray) -> np.ndarray:
@@ -72,6 +78,8 @@ class RidgeRegressor(_Learner):
     """Exact ridge regression; ``partial_fit`` adds to the normal equations."""
 
     _estimator_type = "regressor"
+    #: ``partial_fit`` of the parts comes to what ``fit`` makes of the whole.
+    additive = True
 
     def __init__(self, alpha: float = 1.0, random_state: int = 0):
         self.alpha, self.random_state = alpha, random_state

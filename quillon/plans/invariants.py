@@ -6,6 +6,7 @@ on average, a split deals every row once, a schedule fixes the number of calls.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def shuffle_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM e, e a WHERE a.vec_id < 2 GROUP BY e.vec_id"
 )
 def pairwise_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
     df = _vectors(spark, sf_dir)
     two = np.array([r["x"] for r in df.where("vec_id < 2").orderBy("vec_id").collect()])
     out = pairwise.pairwise_kernels(df, "x", two, metric="linear")
@@ -217,8 +216,6 @@ def voting_regressor_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df, _ = _blocks(spark, sf_dir)
     model = ensemble.BlockwiseVotingRegressor(RidgeRegressor(), "vec_id").fit(df, "embedding", "label")
-    own = model.predict(df)
-    for k, one in enumerate(model.estimators_):
-        own = ensemble.apply_model(own, "embedding", one.predict, f"p{k}", kind="double")
-    each = [F.col(f"p{k}") for k in range(len(model.estimators_))]
-    return own.select("vec_id", F.col("prediction").between(F.least(*each) - 1e-9, F.greatest(*each) + 1e-9).alias("within"))
+    models = model.estimators_
+    own = ensemble.apply_model(model.predict(df), "embedding", lambda x: np.column_stack([m.predict(x) for m in models]), "each", kind="array<double>")
+    return own.select("vec_id", F.col("prediction").between(F.array_min("each") - 1e-9, F.array_max("each") + 1e-9).alias("within"))

@@ -13,7 +13,7 @@ from quillon.functions import pairwise, validation
 from quillon.operators import ensemble, linear, search, splits, text
 from quillon.operators.base import Estimator, arrow_values, clone, matrix
 from quillon.operators.encoders import FeatureUnion, Pipeline
-from quillon.operators.learners import SGDClassifier
+from quillon.operators.learners import RidgeRegressor, SGDClassifier
 from quillon.operators.scalers import MinMaxScaler, SimpleImputer, StandardScaler
 from quillon.streaming.incremental import ModelStore
 
@@ -233,3 +233,37 @@ def test_vectorisers_work_on_slices_of_bounded_terms(spark, monkeypatch):
     made = [m.transform(frame(spark)).collect() for m in (text.HashingVectorizer(n_features=8), text.CountVectorizer().fit(frame(spark)))]
     monkeypatch.setattr(text, "SLICE_TERMS", 4)
     assert made == [m.transform(frame(spark)).collect() for m in (text.HashingVectorizer(n_features=8), text.CountVectorizer().fit(frame(spark)))]
+
+
+class Counted(RidgeRegressor):
+    def partial_fit(self, x, y):
+        self.most_ = max(getattr(self, "most_", 0), len(x))
+        return super().partial_fit(x, y)
+
+
+def test_blocks_of_additive_learners_come_in_pieces(spark):
+    rows = spark.range(2000).select("id", F.array(F.col("id") / 2000, F.lit(1.0)).alias("x"), (F.col("id") % 3).cast("int").alias("y"), F.lit("a").alias("s"))
+    for learner, model in ((Counted(), ensemble.BlockwiseVotingRegressor), (SGDClassifier(), lambda e, **k: ensemble.BlockwiseVotingClassifier(e, "hard", [0, 1, 2], **k))):
+        whole, cut = model(learner, n_blocks=3), model(learner, n_blocks=3)
+        cut.cells = 2 * 150
+        whole.fit(rows, "x", "y")
+        cut.fit(rows, "x", "y")
+        for a, b, n in zip(whole.estimators_, cut.estimators_, range(3), strict=True):
+            own = np.array([[*r["x"], r["y"]] for r in rows.where(ensemble.block_of("id", 3) == n).orderBy("id").collect()])
+            assert np.allclose(a.coef_, b.coef_, atol=1e-9) and np.array_equal(a.coef_, clone(learner).fit(own[:, :2], own[:, 2].astype(int)).coef_)
+            assert not hasattr(b, "most_") or b.most_ == 128 and a.most_ == len(own)
+        assert cut.predict(rows).where("s = 'a' AND prediction IS NOT NULL").count() == 2000
+
+
+@pytest.mark.parametrize("made, kind", [([1, 2], "bigint"), ([1, 2], "double"), (["a", "b"], "string"), ([[1.0, 2.0], [3.0, 4.0]], "array<double>"), ([True, False], "boolean")])
+def test_models_give_columns_of_each_kind(spark, made, kind):
+    df = spark.createDataFrame([(1, [1.0], None), (None, [2.0], "u")], "id long, x array<double>, s string").coalesce(1)
+    out = ensemble.apply_model(df, "x", lambda x: np.array(made)[x[:, 0].astype(int) - 1], "out", kind=kind)
+    assert dict(out.dtypes)["out"] == kind and [tuple(r) for r in out.select("id", "s", "out").collect()] == [(1, None, made[0]), (None, "u", made[1])]
+
+
+def test_voting_regressor_range_starts_two_python_workers_a_task(spark, sf_dir):
+    from quillon.plans import registry
+
+    plan = registry.queries()["voting_regressor_range"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 2
