@@ -194,6 +194,72 @@ def partial_sums(df: DataFrame, columns: Sequence[Column], compute: Callable[...
     return out
 
 
+#: Bytes of a packed matrix and of the matrices of a task, and numbers of sums that tasks hand to the driver without a shuffle.
+PACK_BYTES, TASK_BYTES, DIRECT_SUMS = 1 << 20, 1 << 24, 1024
+
+
+def packed(df: DataFrame, ones: bool = False) -> DataFrame:
+    """The columns ``x`` (arrays) and ``y`` of ``df`` as matrices in binary form, for many passes over the same rows.
+
+    A pass hands over a few values of about ``PACK_BYTES`` in place of each number
+    of each row.  ``ones`` adds a last column of ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (arrow_values(c).astype(float, copy=False) for c in batch.columns)
+                step = max(1, PACK_BYTES // (8 * (x.shape[1] + ones)))
+                for at in range(0, len(y), step):
+                    part = x[at : at + step]
+                    part = np.column_stack((part, np.ones(len(part)))) if ones else part
+                    yield pa.RecordBatch.from_pydict({"x": [part.tobytes()], "y": [y[at : at + step].tobytes()]})
+
+    return df.select("x", "y").mapInArrow(run, "x binary, y binary")
+
+
+def kept_packed(df: DataFrame, ones: bool = False) -> DataFrame:
+    """What ``packed`` makes, persisted; in fewer partitions where they are small, as each costs a task in every pass."""
+    rows = packed(df, ones).persist()
+    tasks = -(-(rows.agg(F.sum(F.octet_length("x"))).first()[0] or 1) // TASK_BYTES)
+    if 2 * tasks > rows.rdd.getNumPartitions():
+        return rows
+    few = rows.coalesce(tasks).persist()
+    few.count()
+    rows.unpersist()
+    return few
+
+
+def packed_sums(rows: DataFrame, compute: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """``partial_sums`` over what ``packed`` has made."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            for x, y in zip(*batch.columns, strict=True):
+                y = np.frombuffer(y.as_buffer())
+                made = compute(np.frombuffer(x.as_buffer()).reshape(len(y), -1), y)
+                total = made if total is None else total + made
+        return total
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (total := sums(batches)) is not None:
+            yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (total := sums(batches)) is not None:
+            yield pa.RecordBatch.from_pydict({"k": np.arange(size), "v": total})
+
+    out = np.zeros(size)
+    if size <= DIRECT_SUMS:
+        for row in rows.mapInArrow(whole, "v binary").collect():  # one vector for each task
+            out += np.frombuffer(row["v"])
+        return out
+    for row in rows.mapInArrow(long, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
+        out[row["k"]] = row["v"]
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -1,8 +1,8 @@
 """Generalised linear models and Gaussian naive Bayes.
 
-Every solver step is one aggregation: gradients and Hessians are summed over
-Arrow batches in NumPy and added up position by position; the driver holds
-d*d numbers.  The objective is the sum of losses plus a penalty of 1/C on all
+Rows are packed into matrices once and kept; every solver step is one aggregation:
+gradients and Hessians are summed over these in NumPy and added up position by
+position; the driver holds d*d numbers.  The objective is the sum of losses plus a penalty of 1/C on all
 coefficients, the intercept included.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import metrics
-from quillon.operators.base import Estimator, Features, dot, literal, partial_sums, vector, width
+from quillon.operators.base import Estimator, Features, dot, kept_packed, literal, packed_sums, vector, width
 
 SOLVERS = ("admm", "proximal_grad", "lbfgs", "newton", "gradient_descent")
 
@@ -61,7 +61,8 @@ class _GLM(Estimator):
             raise ValueError(f"unknown penalty {self.penalty!r}")
         self.features_, self.label_ = features, label
         self.n_features_in_ = width(df, features)
-        rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").persist()
+        rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+        rows = kept_packed(rows, self.fit_intercept)
         try:
             beta = _Solver(self, rows, penalty).run()
         finally:
@@ -77,18 +78,16 @@ class _GLM(Estimator):
 
 class _Solver:
     def __init__(self, model: _GLM, rows: DataFrame, penalty: Penalty):
-        self.rows, self.family, self.intercept = rows, model.family, model.fit_intercept
+        self.rows, self.family = rows, model.family
         self.penalty, self.lam, self.tol, self.steps, self.kind = penalty, 1 / model.C, model.tol, model.max_iter, model.solver
-        self.d = model.n_features_in_ + self.intercept
+        self.d = model.n_features_in_ + model.fit_intercept
         self.extra = model.solver_kwargs or {}
 
     def sums(self, beta: np.ndarray, hessian: bool) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss, gradient and Hessian of all rows."""
-        d, family, intercept = self.d, self.family, self.intercept
+        d, family = self.d, self.family
 
         def batch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            if intercept:
-                x = np.column_stack((x, np.ones(len(x))))
             eta = x @ beta
             if family == "logistic":
                 p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
@@ -103,7 +102,7 @@ class _Solver:
                 parts.append((x.T @ (x * curve[:, None])).ravel())
             return np.concatenate(parts)
 
-        out = partial_sums(self.rows, [F.col("x"), F.col("y")], batch, 1 + d + d * d * hessian)
+        out = packed_sums(self.rows, batch, 1 + d + d * d * hessian)
         return out[0], out[1 : 1 + d], out[1 + d :].reshape(d, d) if hessian else np.zeros((0, 0))
 
     def run(self) -> np.ndarray:

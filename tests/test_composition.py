@@ -267,3 +267,18 @@ def test_voting_regressor_range_starts_two_python_workers_a_task(spark, sf_dir):
 
     plan = registry.queries()["voting_regressor_range"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapIn") == 2
+
+
+def test_solvers_pass_over_packed_rows(spark):
+    from quillon.operators import base
+
+    df = spark.range(5000, numPartitions=8).select((F.col("id") % 2).cast("double").alias("y"), F.array(F.col("id") / 5000, F.lit(2.0)).alias("x"))
+    rows = base.kept_packed(df, ones=True)
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 8
+    x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, 3) for r in rows.collect()])
+    assert np.array_equal(np.sort(x[:, 0]), np.arange(5000) / 5000) and set(map(tuple, x[:, 1:])) == {(2.0, 1.0)}
+    for size in (3, base.DIRECT_SUMS + 3):
+        got = base.packed_sums(rows, lambda x, y, size=size: np.concatenate((np.zeros(size - 3), [len(y), x[:, 0].sum(), y.sum()])), size)
+        assert len(got) == size and np.allclose(got[-3:], [5000, 2499.5, 2500]) and not got[:-3].any()
+    assert not base.packed_sums(base.kept_packed(df.where("y > 7")), lambda x, y: np.ones(2), 2).any()
+    rows.unpersist()
